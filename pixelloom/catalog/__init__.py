@@ -1,13 +1,13 @@
 """Registered queries over the driver tables, each with the SQL that must give the same rows."""
 
 from pixelloom.catalog import (  # noqa: F401
-    # q_chips,
+    q_chips,
     # q_ingest,
     q_labels,
     q_metrics,
     # q_raster,
     # q_runs,
-    # q_splits,
+    q_splits,
     # q_streams,
     # q_zones,
 )

@@ -8,15 +8,18 @@ from __future__ import annotations
 
 from functools import cached_property, lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.grid import GridSpec
+from pixelloom.operators.cells import pixel_to_cell
+from pixelloom.operators.chips import assign_chips, pixel_to_chip
 from pixelloom.operators.merge import band_moments, merge_priority, merge_priority_per_band, paired_means
 from pixelloom.session import small_side
 
 TRAITS = ["X1", "X2", "X3", "X4"]
 PIXEL_M = 22000.0
+PATCH, STRIDE = 16, 8
 # Transform parameters covering every branch: lambda < 0, 0, 2 and > 2, and one unmatched trait.
 PARAMS = [
     ("X1", -0.3, 1.10, 0.40),
@@ -91,6 +94,25 @@ class Tables:
     def merged_bands(self) -> DataFrame:
         return merge_priority_per_band(self.aux, self.primary, ["mean", "std", "count"])
 
+    @property
+    def block(self) -> tuple[tuple[int, int], tuple[int, int]]:
+        """Cell and parent size in pixels: 20 x 20 cells and 4 x 4 parents over the grid."""
+        h, w = (self.grid.height + 19) // 20, (self.grid.width + 19) // 20
+        return (h, w), (5 * h, 5 * w)
+
+    @cached_property
+    def cell_target(self) -> DataFrame:
+        """Target bands with square cells."""
+        size, parent = self.block
+        return pixel_to_cell(self.target, self.grid, "square", size, parent)
+
+    @cached_property
+    def features(self) -> DataFrame:
+        """Primary means as split features."""
+        return self.cell_target.filter(F.col("source") == "primary").select(
+            "cell_id", "parent_id", F.col("trait").alias("feature"), F.col("mean").alias("value")
+        )
+
     @cached_property
     def pairs(self) -> DataFrame:
         """y = primary mean, p = aux mean."""
@@ -105,6 +127,23 @@ class Tables:
             F.when(F.col("n") >= 2, 2).otherwise(1).alias("source_code"),
         )
 
+    @property
+    def pixel_split(self) -> Column:
+        """Split of a pixel: blocks of grid rows, 70 / 15 / 15."""
+        band = F.floor(F.col("row") / self.block[0][0])
+        return F.when(band < 14, "train").when(band < 17, "val").otherwise("test")
+
+    @cached_property
+    def chip_pixels(self) -> DataFrame:
+        """Pairs in 16-pixel windows with stride 8: y is the target, pred the predictor."""
+        px = self.coded_pairs.withColumn("pixel_split", self.pixel_split).withColumnRenamed("p", "pred")
+        return pixel_to_chip(px, self.grid, PATCH, STRIDE)
+
+    @cached_property
+    def chips(self) -> DataFrame:
+        """Chip pixels copied into every split their chip overlaps."""
+        return assign_chips(self.chip_pixels)
+
     @cached_property
     def params(self) -> DataFrame:
         return self.spark.createDataFrame(PARAMS, PARAMS_SCHEMA)
@@ -206,6 +245,23 @@ CTES: dict[str, str] = {
     "coded_pairs": """SELECT p.row, p.col, p.trait, p.y, p.p,
         CASE WHEN s.count >= 2 THEN 2 ELSE 1 END AS source_code
         FROM pairs p JOIN prim s ON s.row = p.row AND s.col = p.col AND s.trait = p.trait""",
+    "cell_target": """SELECT *, (col // ((w + 19) // 20)) * 16777216 + row // ((h + 19) // 20) AS cell_id,
+        (col // (5 * ((w + 19) // 20))) * 16777216 + row // (5 * ((h + 19) // 20)) AS parent_id
+        FROM target, dims""",
+    "features": "SELECT cell_id, parent_id, trait AS feature, mean AS value FROM cell_target WHERE source = 'primary'",
+    "edges": """SELECT feature, min(value) AS lo, max(value) AS hi, (max(value) - min(value)) / 12 AS width
+        FROM features GROUP BY feature HAVING max(value) > min(value)""",
+    "hist": """SELECT cell_id, f.feature, greatest(least(floor((value - lo) / width), 11), 0)::int AS bin, count(*) AS n
+        FROM features f JOIN edges e ON e.feature = f.feature GROUP BY ALL""",
+    "chip_pixels": """SELECT p.row, p.col, p.trait, p.y, p.p AS pred, p.source_code, a.i::int AS chip_row, b.i::int AS chip_col,
+        (p.row - a.i * 8)::int AS dr, (p.col - b.i * 8)::int AS dc,
+        a.i * (greatest(ceil((w - 16) / 8.0), 0)::bigint + 1) + b.i AS chip_id,
+        CASE WHEN p.row // ((h + 19) // 20) < 14 THEN 'train' WHEN p.row // ((h + 19) // 20) < 17 THEN 'val' ELSE 'test' END AS pixel_split
+        FROM coded_pairs p, dims,
+        unnest(range(greatest(ceil((p.row - 15) / 8.0), 0)::bigint, least(p.row // 8, greatest(ceil((h - 16) / 8.0), 0)::bigint) + 1)) a(i),
+        unnest(range(greatest(ceil((p.col - 15) / 8.0), 0)::bigint, least(p.col // 8, greatest(ceil((w - 16) / 8.0), 0)::bigint) + 1)) b(i)""",
+    "chips": """SELECT c.*, o.split FROM chip_pixels c JOIN
+        (SELECT DISTINCT chip_id, pixel_split AS split FROM chip_pixels) o ON o.chip_id = c.chip_id""",
     "params": f"SELECT * FROM (VALUES {_PARAM_ROWS}) v(trait, lam, m, s)",
     "folds": """SELECT trait, (col + 0.5::double) * 22000 AS x,
         (SELECT h FROM dims) * 22000 - (row + 0.5::double) * 22000 AS y, n_regionkey AS fold, row, col
