@@ -2,14 +2,15 @@
 
 from pixelloom.catalog import (  # noqa: F401
     q_chips,
-    # q_ingest,
+    q_ingest,
     q_labels,
     q_metrics,
-    # q_raster,
-    # q_runs,
+    q_plans,
+    q_raster,
+    q_runs,
     q_splits,
-    # q_streams,
-    # q_zones,
+    q_streams,
+    q_zones,
 )
 from pixelloom.catalog.registry import all_queries, all_sql
 

@@ -201,7 +201,7 @@ def _(t):
 # ---- predictor vectors -------------------------------------------------------------------------
 
 _SHARE = {"shares": """SELECT *, coalesce(len(list_filter(vec, lambda v: v IS NOT NULL)), 0)::double / 64 AS share,
-  list_transform(vec, lambda v: coalesce(greatest(least(v, 0.2::float), -0.2::float), 0)) AS clean FROM predictor"""}
+  list_transform(vec, lambda v: CASE WHEN v IS NULL THEN 0 ELSE greatest(least(v, 0.2::float), -0.2::float) END) AS clean FROM predictor"""}
 
 
 @query("P4_predictor_validity", "SELECT vec_id, share >= 0.7::double AS valid FROM shares", _SHARE)

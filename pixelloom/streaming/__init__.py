@@ -1,0 +1 @@
+"""Incremental twins of the batch operators on Structured Streaming."""
