@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pixelloom.catalog.registry import query, rounded
+from pixelloom.catalog.tables import TRAITS
 from pixelloom.operators import merge, quality, sampling
 
 MERGE_BANDS = ["mean", "std", "count"]
@@ -16,7 +17,14 @@ SELECT row, col, source, trait, round(avg(v), 8) AS mean, round(stddev_pop(v), 8
        round(quantile_cont(v, 0.95), 8) AS q95, count(v) AS count
 FROM obs GROUP BY ALL""")
 def _(t):
-    return rounded(merge.band_stats(t.obs), 8)
+    return rounded(merge.band_stats(t.obs_wide, TRAITS), 8)
+
+
+@query("A1_band_stats_long", """
+SELECT row, col, source, trait, count, round(median, 8) AS median FROM (
+  SELECT row, col, source, trait, count(v) AS count, quantile_cont(v, 0.5) AS median FROM obs GROUP BY ALL)""")
+def _(t):
+    return rounded(merge.band_stats(t.obs).select("row", "col", "source", "trait", "count", "median"), 8)
 
 
 @query("J1_merge_priority", """

@@ -127,24 +127,34 @@ def placed_scores(
     """Scores at raster pixels with their weight. With ``crop``, dr/dc count inside the centred crop."""
     size = crop or patch
     shift = (patch - size) // 2
-    placed = chip_scores.select(
+    return chip_scores.select(
         "trait",
         (F.col("chip_row") * stride + F.col("dr") + shift).alias("row"),
         (F.col("chip_col") * stride + F.col("dc") + shift).alias("col"),
         finite(F.col("score").cast("double")).alias("v"),
         triangular_weight(F.col("dr"), F.col("dc"), size).alias("w"),
+    ).filter(grid.contains("row", "col"))
+
+
+def weighted_sums(placed: DataFrame) -> DataFrame:
+    """Additive sums per pixel and trait. A missing score carries no weight; it is not filtered out,
+    because that filter would be pushed below, and so repeat, the expression that made the score."""
+    w = F.when(F.col("v").isNotNull(), F.col("w"))
+    return placed.groupBy("row", "col", "trait").agg(
+        F.sum(w * F.col("v")).alias("sum_wv"), F.sum(w).alias("sum_w")
     )
-    return placed.filter(grid.contains("row", "col") & F.col("v").isNotNull())
+
+
+def weighted_mean() -> Column:
+    return F.try_divide(F.col("sum_wv"), F.col("sum_w"))
 
 
 def mosaic_weighted(
     chip_scores: DataFrame, grid: GridSpec, patch: int, stride: int, crop: int | None = None
 ) -> DataFrame:
     """Overlap-weighted mean of chip scores per pixel and trait; a pixel has few chips, so no skew."""
-    placed = placed_scores(chip_scores, grid, patch, stride, crop)
-    return placed.groupBy("row", "col", "trait").agg(
-        (F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("value")
-    )
+    sums = weighted_sums(placed_scores(chip_scores, grid, patch, stride, crop))
+    return sums.filter(F.col("sum_w") > 0).select("row", "col", "trait", weighted_mean().alias("value"))
 
 
 def target_layout(traits: Sequence[str], bands: Sequence[str], wanted: Sequence[str] | None = None) -> list[tuple]:

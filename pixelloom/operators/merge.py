@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.grid import GridSpec
-from pixelloom.operators.ranking import group_quantiles
+from pixelloom.operators.ranking import HOT_ROWS, exact_quantiles, group_quantiles, hot_keys
 
 KEY = ["row", "col", "trait"]
 BANDS = ["mean", "std", "median", "q05", "q95", "count"]
@@ -43,10 +43,34 @@ def band_moments(obs: DataFrame, traits: Sequence[str] | None = None) -> DataFra
     return _unpivot_structs(wide, by, traits)
 
 
-def band_stats(obs: DataFrame, by: Sequence[str] = ("row", "col", "source", "trait")) -> DataFrame:
-    """The six target bands per pixel, source and trait in one shuffle (plus a spread path for hot pixels)."""
-    probs = {"median": 0.5, "q05": 0.05, "q95": 0.95}
-    return group_quantiles(obs, by, "v", probs, extra=_moment_columns("v")).select(*by, *BANDS)
+QUANTILES = {"median": 0.5, "q05": 0.05, "q95": 0.95}
+
+
+def band_stats(obs: DataFrame, traits: Sequence[str] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The six target bands per pixel, source and trait in one shuffle.
+
+    Wide observations (``traits`` given) shuffle one row per observation whatever the number of
+    traits. Pixels with very many observations leave the per-pixel percentile for the spread path.
+    """
+    by = ["row", "col", "source"]
+    if traits is None:
+        keys = [*by, "trait"]
+        stats = group_quantiles(obs, keys, "v", QUANTILES, hot_rows, extra=_moment_columns("v"))
+        return stats.select(*keys, *BANDS)
+    hot = hot_keys(obs, by, hot_rows)
+    is_hot = F.xxhash64(*by).isin(hot)
+    probs = F.array(*[F.lit(p) for p in QUANTILES.values()])
+    wide = (obs.filter(~is_hot) if hot else obs).groupBy(*by).agg(
+        *[F.struct(*_moment_columns(t), F.percentile(t, probs).alias("q")).alias(t) for t in traits]
+    )
+    out = _unpivot_structs(wide, by, traits).select(
+        *by, "trait", "mean", "std", *[F.col("q")[i].alias(n) for i, n in enumerate(QUANTILES)], "count"
+    )
+    if not hot:
+        return out
+    long = obs.filter(is_hot).unpivot(by, list(traits), "trait", "v").filter(F.col("v").isNotNull())
+    spread = exact_quantiles(long, [*by, "trait"], "v", QUANTILES, _moment_columns("v"))
+    return out.unionByName(spread.select(*out.columns))
 
 
 def paired_means(obs: DataFrame, traits: Sequence[str], y: str = "y", p: str = "p") -> DataFrame:

@@ -14,22 +14,10 @@ from pixelloom.operators.ranking import exact_quantiles
 from pixelloom.session import small_side
 
 
-def _with_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], aggs: list
-) -> DataFrame:
-    by = list(by)
-    base = df.groupBy(*by).agg(*aggs)
-    quantiles = exact_quantiles(df, by, value, probs)
-    if by:
-        return base.join(quantiles, by, "left")
-    k = F.lit(1)
-    return base.withColumn("__k", k).join(quantiles.withColumn("__k", k), "__k", "left").drop("__k")
-
-
 def describe(df: DataFrame, by: Sequence[str] = (), value: str = "value") -> DataFrame:
     """n, min, median, mean, max, population std of the finite values; n = 0 and NULLs without any."""
     clean = df.select(*by, finite(F.col(value).cast("double")).alias("v"))
-    return _with_quantiles(
+    return exact_quantiles(
         clean, by, "v", {"median": 0.5},
         [F.count("v").alias("n"), F.min("v").alias("v_min"), F.avg("v").alias("v_mean"),
          F.max("v").alias("v_max"), F.stddev_pop("v").alias("v_std")],
@@ -39,7 +27,7 @@ def describe(df: DataFrame, by: Sequence[str] = (), value: str = "value") -> Dat
 def raster_summary(df: DataFrame, by: Sequence[str] = ("file",), value: str = "value") -> DataFrame:
     """Per file: valid and missing pixels, min, max, mean, std, p1, p99."""
     clean = df.select(*by, finite(F.col(value).cast("double")).alias("v"))
-    return _with_quantiles(
+    return exact_quantiles(
         clean, by, "v", {"p1": 0.01, "p99": 0.99},
         [F.count("v").alias("n_valid"), F.count_if(F.col("v").isNull()).alias("n_nodata"),
          F.min("v").alias("v_min"), F.max("v").alias("v_max"), F.avg("v").alias("v_mean"),

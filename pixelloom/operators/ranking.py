@@ -66,16 +66,20 @@ def hot_keys(df: DataFrame, by: Sequence[str], hot_rows: int = HOT_ROWS) -> list
 
 
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]
+    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], extra: Sequence[Column] = ()
 ) -> DataFrame:
     """Exact linear-interpolated quantiles of large groups (per trait, source, file ...).
 
+    ``extra`` holds further algebraic aggregates; they ride on pass 1. A group without values keeps
+    its row, with NULL quantiles. The input is read twice: :func:`pixelloom.session.cut` it first
+    if it is expensive.
+
     Pass 1 takes count and sketched brackets ``[lo, hi]`` around every wanted rank (map-side
     combined). Pass 2 counts what lies below each bracket and pulls only the distinct values inside
     it, about ``2 * SLACK / ACCURACY`` of a group (all of it up to ACCURACY rows). A bracket that missed its rank raises instead of guessing.
     """
-    by = list(by)
-    df = df.select(*by, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    by, extra = list(by), list(extra)
+    df = df.withColumn("__v", F.col(value).cast("double"))
     slack = SLACK / ACCURACY
     edges = [max(p - slack, 0.0) for p in probs.values()] + [min(p + slack, 1.0) for p in probs.values()]
     k = len(probs)
@@ -84,7 +88,10 @@ def exact_quantiles(
         F.percentile_approx("__v", [float(e) for e in edges], ACCURACY).alias("__e"),
         F.min("__v").alias("__min"),
         F.max("__v").alias("__max"),
+        *[c.alias(f"__x{i}") for i, c in enumerate(extra)],
     )
+    names = extra_names(df, extra)
+    carried = [f"__x{i}" for i in range(len(extra))]
     tiny = F.col("__n") <= ACCURACY
     wanted = F.array(
         *[
@@ -97,8 +104,10 @@ def exact_quantiles(
             for i, (name, p) in enumerate(probs.items())
         ]
     )
-    brackets = small_side(stats.select(*by, "__n", wanted.alias("__w")))
-    rows = df.join(brackets, by) if by else _attach_single(df, brackets)
+    found = small_side(stats.select(*by, "__n", wanted.alias("__w"), *carried))
+    brackets = found.drop(*carried)
+    values = df.select(*by, "__v")
+    rows = values.join(brackets, by) if by else _attach_single(values, brackets)
     # one row per value becomes one row per (bracket, value-or-"below") and is combined map-side
     hits = (
         rows.select(*by, "__v", F.explode("__w").alias("w"))
@@ -124,11 +133,18 @@ def exact_quantiles(
     exact = F.when(
         low.isNull() | high.isNull(), F.raise_error(F.lit("quantile bracket missed its rank"))
     ).otherwise(low * (F.lit(1.0) - share) + high * share)
-    return (
-        picked.groupBy(*by)
-        .pivot("__q", list(probs))
-        .agg(F.first(exact.cast("double")))
-    )
+    wide = picked.groupBy(*by).pivot("__q", list(probs)).agg(F.first(exact.cast("double")))
+    if not extra:
+        return wide
+    kept = found.select(*by, *[F.col(c).alias(n) for c, n in zip(carried, names)])
+    if by:
+        return kept.join(wide, by, "left")
+    return kept.withColumn("__k", F.lit(1)).join(wide.withColumn("__k", F.lit(1)), "__k", "left").drop("__k")
+
+
+def extra_names(df: DataFrame, extra: Sequence[Column]) -> list[str]:
+    """Output names of aliased aggregates."""
+    return df.agg(*extra).columns if extra else []
 
 
 def _attach_single(df: DataFrame, one: DataFrame) -> DataFrame:
@@ -148,13 +164,13 @@ def group_quantiles(
     """
     by, extra = list(by), list(extra)
     hot = hot_keys(df, by, hot_rows)
-    plain = [F.percentile(value, float(p)).alias(name) for name, p in probs.items()]
-    if not hot:
-        return df.groupBy(*by).agg(*extra, *plain)
     is_hot = F.xxhash64(*by).isin(hot)
-    rest = df.filter(~is_hot).groupBy(*by).agg(*extra, *plain)
-    hot_rows_df = df.filter(is_hot)
-    spread = exact_quantiles(hot_rows_df, by, value, probs)
-    if extra:
-        spread = hot_rows_df.groupBy(*by).agg(*extra).join(spread, by, "left")
-    return rest.unionByName(spread)
+    rest = df.filter(~is_hot) if hot else df
+    names = extra_names(df, extra)
+    at_once = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs.values()])).alias("__q")
+    plain = rest.groupBy(*by).agg(*extra, at_once).select(
+        *by, *names, *[F.col("__q")[i].alias(n) for i, n in enumerate(probs)]
+    )
+    if not hot:
+        return plain
+    return plain.unionByName(exact_quantiles(df.filter(is_hot), by, value, probs, extra))

@@ -17,7 +17,7 @@ from pixelloom.functions.power import (
     yeo_johnson_core,
 )
 from pixelloom.operators.ranking import exact_quantiles
-from pixelloom.session import small_side
+from pixelloom.session import cut, small_side
 
 LAMBDA, MEAN, SCALE = "yeo_johnson_lambda", "standardize_mean", "standardize_scale"
 
@@ -183,16 +183,15 @@ def normalise(df: DataFrame, params: DataFrame, value: str = "v", out: str = "z"
 
 def source_compare(df: DataFrame, params: DataFrame, value: str = "value") -> DataFrame:
     """Per source and trait: n, min, p5, median, mean, p95, max, std in original units."""
-    physical = denormalise(df, params, value=value)
-    moments = physical.groupBy("source", "trait").agg(
-        F.count("physical").alias("n"), F.min("physical").alias("v_min"),
-        F.avg("physical").alias("v_mean"), F.max("physical").alias("v_max"),
-        F.stddev_pop("physical").alias("v_std"),
+    physical = cut(denormalise(df, params, value=value).select("source", "trait", "physical"), "physical")
+    return exact_quantiles(
+        physical, ["source", "trait"], "physical", {"p5": 0.05, "median": 0.5, "p95": 0.95},
+        [
+            F.count("physical").alias("n"), F.min("physical").alias("v_min"),
+            F.avg("physical").alias("v_mean"), F.max("physical").alias("v_max"),
+            F.stddev_pop("physical").alias("v_std"),
+        ],
     )
-    quantiles = exact_quantiles(
-        physical, ["source", "trait"], "physical", {"p5": 0.05, "median": 0.5, "p95": 0.95}
-    )
-    return moments.join(quantiles, ["source", "trait"], "left")
 
 
 def trait_match(files: DataFrame, params: DataFrame) -> DataFrame:

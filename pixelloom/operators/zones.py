@@ -267,13 +267,16 @@ def _grandparents(parent: DataFrame, salts: int = 16) -> DataFrame:
 def component_sizes(parts: DataFrame, label: str, pixel_km2: float) -> DataFrame:
     """Per label: number of components and their size in pixels and km2, with the mean's diameter."""
     sizes = parts.groupBy(label, "component").agg(F.count(F.lit(1)).alias("px"))
-    stats = sizes.groupBy(label).agg(
-        F.count(F.lit(1)).alias("n_components"), F.sum("px").alias("n_pixels"),
-        F.min("px").alias("min_px"), F.max("px").alias("max_px"), F.avg("px").alias("mean_px"),
+    sizes = cut(sizes, "sizes")
+    stats = exact_quantiles(
+        sizes, [label], "px", {"median_px": 0.5},
+        [
+            F.count(F.lit(1)).alias("n_components"), F.sum("px").alias("n_pixels"), F.min("px").alias("min_px"),
+            F.max("px").alias("max_px"), F.avg("px").alias("mean_px"),
+        ],
     )
-    median = exact_quantiles(sizes, [label], "px", {"median_px": 0.5})
     km2 = F.lit(float(pixel_km2))
-    return stats.join(median, label).withColumns(
+    return stats.withColumns(
         {
             "min_km2": F.col("min_px") * km2, "max_km2": F.col("max_px") * km2,
             "mean_km2": F.col("mean_px") * km2, "median_km2": F.col("median_px") * km2,

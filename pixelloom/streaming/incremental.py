@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from pixelloom.functions.missing import finite
 from pixelloom.grid import GridSpec
-from pixelloom.operators.chips import placed_scores
+from pixelloom.operators.chips import placed_scores, weighted_mean, weighted_sums
 from pixelloom.operators.metrics import one_pass_r2
 
 
@@ -54,9 +54,7 @@ def mosaic_stream(
     writes its own folder by overwriting it, so a repeated batch counts once.
     """
     def append(batch: DataFrame, batch_id: int) -> None:
-        part = placed_scores(batch, grid, patch, stride, crop).groupBy("row", "col", "trait").agg(
-            F.sum(F.col("w") * F.col("v")).alias("sum_wv"), F.sum("w").alias("sum_w")
-        )
+        part = weighted_sums(placed_scores(batch, grid, patch, stride, crop))
         part.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
@@ -69,9 +67,10 @@ def mosaic_stream(
 
 def mosaic_result(spark: SparkSession, path: str) -> DataFrame:
     """Current mosaic from the batch sums."""
-    return spark.read.parquet(path).groupBy("row", "col", "trait").agg(
-        (F.sum("sum_wv") / F.sum("sum_w")).alias("value")
+    sums = spark.read.parquet(path).groupBy("row", "col", "trait").agg(
+        F.sum("sum_wv").alias("sum_wv"), F.sum("sum_w").alias("sum_w")
     )
+    return sums.filter(F.col("sum_w") > 0).select("row", "col", "trait", weighted_mean().alias("value"))
 
 
 def ingest_resume(
