@@ -20,7 +20,7 @@ HOT_ROWS = 1_000_000
 TRACKED_KEYS = 10_000
 MAX_HOT_KEYS = 1_000
 # The bracketing sketch errs by at most n / ACCURACY ranks; the bracket reaches SLACK times as far.
-ACCURACY = 10_000
+ACCURACY = 50_000
 SLACK = 4
 
 

@@ -17,6 +17,7 @@ from pixelloom.functions.power import (
     yeo_johnson_core,
 )
 from pixelloom.operators.ranking import exact_quantiles
+from pixelloom.operators.sampling import sample_exact
 from pixelloom.session import cut, small_side
 
 LAMBDA, MEAN, SCALE = "yeo_johnson_lambda", "standardize_mean", "standardize_scale"
@@ -125,13 +126,17 @@ def denormalise_pair(
 
 def fit_yeo_johnson(
     df: DataFrame, by: str, value: str = "v", lo: float = -2.0, hi: float = 4.0, steps: int = 25,
-    rounds: int = 3,
+    rounds: int = 3, max_fit: int | None = None, ids: Sequence[str] = (), seed: int = 0,
 ) -> DataFrame:
     """Maximum-likelihood lambda per variable by a refined grid, then mean and scale.
 
     Every round is one scan: moments of the transformed value for all candidates, combined
-    map-side, so nothing but (variables x candidates) sums is shuffled and no rows are sampled.
+    map-side, so nothing but (variables x candidates) sums is shuffled. All rows count unless
+    ``max_fit`` asks for a seeded sample of that many valid rows per variable, drawn by ``ids``.
     """
+    if max_fit is not None:
+        valid = df.filter(finite(F.col(value).cast("double")).isNotNull())
+        df = cut(sample_exact(valid, ids, n=max_fit, seed=seed, by=[by]), "fit-sample")
     data = df.select(by, finite(F.col(value).cast("double")).alias("__v")).filter("__v is not null")
     best = None
     width = (hi - lo) / (steps - 1)

@@ -14,6 +14,8 @@ from pixelloom.operators.ranking import exact_quantiles
 from pixelloom.session import cut, small_side
 
 NO_ZONE = -1
+# Polygon vertices, over all buckets, up to which the bucket table is broadcast.
+MAX_VERTICES = 2_000_000
 AUX, PRIMARY = 1, 2
 
 
@@ -42,7 +44,8 @@ def pixel_to_zone(df: DataFrame, zones: DataFrame, grid: GridSpec, buckets: int
 
     Zones are cut into buckets of the grid, each bucket carrying its few candidate polygons as one
     array; a pixel meets exactly one bucket row. So there is no range join, no pixel is duplicated
-    and, with a small zone table, no shuffle.
+    and, with few vertices (counted first), no shuffle. Beyond that the bucket join is shuffled and
+    dense buckets are left to adaptive skew splitting.
     """
     bw, bh = max(-(-grid.width // buckets), 1), max(-(-grid.height // buckets), 1)
     z = zones.withColumns(
@@ -65,6 +68,9 @@ def pixel_to_zone(df: DataFrame, zones: DataFrame, grid: GridSpec, buckets: int
         .groupBy("br", "bc")
         .agg(F.collect_list(F.struct("ord", "zone_id", "ring", "x0", "x1", "y0", "y1")).alias("cand"))
     )
+    weight = F.aggregate("cand", F.lit(0), lambda n, c: n + F.size(c["ring"]))
+    vertices = cut_up.agg(F.sum(weight)).first()[0] or 0
+    candidates = small_side(cut_up) if vertices <= MAX_VERTICES else cut_up
     placed = df.withColumns(
         {
             "__x": grid.x("col"), "__y": grid.y("row"),
@@ -78,7 +84,7 @@ def pixel_to_zone(df: DataFrame, zones: DataFrame, grid: GridSpec, buckets: int
     )
     last = F.array_max(F.transform(inside, lambda c: F.struct(c["ord"], c["zone_id"])))
     return (
-        placed.join(small_side(cut_up), ["br", "bc"], "left")
+        placed.join(candidates, ["br", "bc"], "left")
         .withColumn("zone_id", F.coalesce(last["zone_id"], F.lit(NO_ZONE)))
         .drop("br", "bc", "cand", "__x", "__y")
     )
@@ -94,16 +100,18 @@ def zonal_coverage(merged: DataFrame, pixels: DataFrame, zones: DataFrame) -> Da
     """
     total = pixels.filter(F.col("zone_id") != NO_ZONE).groupBy("zone_id").agg(F.count(F.lit(1)).alias("n_total"))
     code = F.col("source_code")
-    counts = merged.filter(code.isin(AUX, PRIMARY) & (F.col("zone_id") != NO_ZONE)).groupBy("zone_id", "trait").agg(
-        F.count_if(code == AUX).alias("n_aux"), F.count_if(code == PRIMARY).alias("n_primary")
+    counts = small_side(
+        merged.groupBy("zone_id", "trait").agg(
+            F.count_if(code == AUX).alias("n_aux"), F.count_if(code == PRIMARY).alias("n_primary")
+        )
     )
+    n_traits = counts.select("trait").distinct().count()
     valid = F.col("n_aux") + F.col("n_primary")
-    sums = counts.groupBy("zone_id").agg(
+    sums = counts.filter((F.col("zone_id") != NO_ZONE) & (valid > 0)).groupBy("zone_id").agg(
         F.sum("n_aux").alias("aux"), F.sum("n_primary").alias("primary"),
         F.avg(F.try_divide("n_aux", valid)).alias("aux_share"),
         F.avg(F.try_divide("n_primary", valid)).alias("primary_share"),
     )
-    n_traits = merged.select("trait").distinct().count()
     per_zone = (
         zones.select("zone_id", "name").join(total, "zone_id", "left").join(sums, "zone_id", "left")
         .na.fill(0, ["n_total", "aux", "primary"])
