@@ -55,7 +55,11 @@ class Tables:
 
     @cached_property
     def obs_wide(self) -> DataFrame:
-        return self.read("lineitem").select(
+        return self._wide(self.read("lineitem"))
+
+    @staticmethod
+    def _wide(lines: DataFrame) -> DataFrame:
+        return lines.select(
             F.col("l_partkey").cast("int").alias("row"),
             F.col("l_suppkey").cast("int").alias("col"),
             F.when(F.col("l_returnflag") == "R", "primary").otherwise("aux").alias("source"),
@@ -75,8 +79,10 @@ class Tables:
         return band_moments(self.obs_wide, TRAITS)
 
     def source(self, name: str) -> DataFrame:
-        """Bands of one source; the filter sits below the aggregation."""
-        return band_moments(self.obs_wide.filter(F.col("source") == name), TRAITS).drop("source")
+        """Bands of one source; the filter is on the stored flag, so it reaches the scan."""
+        returned = F.col("l_returnflag") == "R"
+        lines = self.read("lineitem").filter(returned if name == "primary" else ~returned)
+        return band_moments(self._wide(lines), TRAITS).drop("source")
 
     @cached_property
     def aux(self) -> DataFrame:
@@ -116,15 +122,13 @@ class Tables:
     @cached_property
     def pairs(self) -> DataFrame:
         """y = primary mean, p = aux mean."""
-        return paired_means(self.obs_wide, TRAITS)
+        return paired_means(self.obs_wide, TRAITS).drop("n_primary")
 
     @cached_property
     def coded_pairs(self) -> DataFrame:
         """Pairs with the merged source code: primary where it rests on two or more observations."""
-        n = self.primary.select("row", "col", "trait", F.col("count").alias("n"))
-        return self.pairs.join(n, ["row", "col", "trait"]).select(
-            "row", "col", "trait", "y", "p",
-            F.when(F.col("n") >= 2, 2).otherwise(1).alias("source_code"),
+        return paired_means(self.obs_wide, TRAITS).select(
+            "row", "col", "trait", "y", "p", F.when(F.col("n_primary") >= 2, 2).otherwise(1).alias("source_code")
         )
 
     @property

@@ -74,13 +74,17 @@ def band_stats(obs: DataFrame, traits: Sequence[str] | None = None, hot_rows: in
 
 
 def paired_means(obs: DataFrame, traits: Sequence[str], y: str = "y", p: str = "p") -> DataFrame:
-    """Pixels with both sources straight from wide observations: one conditional aggregation, no join."""
+    """Pixels with both sources straight from wide observations: one conditional aggregation, no join.
+
+    ``n_primary`` counts the observations behind the truth.
+    """
     by = ["row", "col"]
     is_primary = F.col("source") == "primary"
     wide = obs.groupBy(*by).agg(
         *[
             F.struct(
-                F.avg(F.when(is_primary, F.col(t))).alias(y), F.avg(F.when(~is_primary, F.col(t))).alias(p)
+                F.avg(F.when(is_primary, F.col(t))).alias(y), F.avg(F.when(~is_primary, F.col(t))).alias(p),
+                F.count(F.when(is_primary, F.col(t))).alias("n_primary"),
             ).alias(t)
             for t in traits
         ]
