@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions.seeded import seeded_key
 from pixelloom.operators.ranking import spread_rank
-from pixelloom.session import small_side
+from pixelloom.session import cut, small_side
 
 
 def sample_size(n_total: int, fraction: float) -> int:
@@ -78,8 +78,11 @@ def spatial_quota(sizes: DataFrame, n: int, seed: int) -> DataFrame:
 def sample_spatial_grid(
     chips: DataFrame, n: int, g: int, seed: int, ids: Sequence[str] = ("chip_id",)
 ) -> DataFrame:
-    """Spatially balanced sample of ``n`` chips by the quotas above, seeded draw inside each bin."""
-    binned = spatial_bins(chips, g)
+    """Spatially balanced sample of ``n`` chips by the quotas above, seeded draw inside each bin.
+
+    The chip table is read several times, so it is written out once first.
+    """
+    binned = spatial_bins(cut(chips, "chips"), g)
     quota = small_side(
         spatial_quota(binned.groupBy("bin").agg(F.count(F.lit(1)).alias("size")), n, seed).select("bin", "quota")
     )

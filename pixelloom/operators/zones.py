@@ -171,7 +171,7 @@ def gap_fill_nearest(
     reach = int(max_km * 1000 // pixel_m) if max_km is not None else max(grid.height, grid.width)
     limit2 = (max_km * 1000 / pixel_m) ** 2 if max_km is not None else float(reach) ** 2 * 2
     pix = [*by, "row", "col"]
-    on_land = land.select(*pix).distinct()
+    on_land = cut(land.select(*pix).distinct(), "land")
     observed = df.select(*pix, finite(F.col("value")).alias("value")).filter("value is not null")
     observed = cut(observed.join(on_land, pix, "left_semi"), "observed")
     gaps = cut(on_land.join(observed, pix, "left_anti"), "gaps")
