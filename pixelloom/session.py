@@ -12,13 +12,18 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, or a local one where it is unset."""
+    """Folder every executor can reach: the one in ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a temporary folder; any other session must name one.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         current = sc.getCheckpointDir()
     return current
@@ -29,6 +34,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a table under the shared folder once nothing reads it any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Cut lineage through a table in the shared folder, so a lost executor cannot lose the result."""
     spark = df.sparkSession
