@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelloom.llm import decontaminate, minhash, mixing, tokens, toxicity
+from pixelloom.llm import ann, decontaminate, licenses, line_dedup, minhash, mixing, quality, secret_scan, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,6 +32,24 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@_query("op2_licenses")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licences that are the whole of a document or of one of its lines."""
+    return licenses.license_report(_table(spark, sf_dir, "documents"))
+
+
+@_query("op3_lines")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, and how many repeat earlier ones, exactly or nearly."""
+    return line_dedup.line_report(_table(spark, sf_dir, "documents"))
+
+
+@_query("op4_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @_query("op5_minhash")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
@@ -44,6 +62,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(_table(spark, sf_dir, "documents"))
 
 
+@_query("op7_neighbours")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of every twentieth one."""
+    return ann.search(_table(spark, sf_dir, "embeddings"))
+
+
 @_query("op8_tokens")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token ids, written to block files and read back."""
@@ -56,3 +80,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query("op10_secrets")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secret_scan.secret_report(_table(spark, sf_dir, "documents"))
