@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelloom.llm.textbytes import ALNUM, LOWER, find_words, slices, text_buffer
+from pixelloom.llm.textbytes import ALNUM, LOWER, find_words, slices, small_batches, text_buffer
 from pixelloom.session import cut
 
 BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 
 MATCH = T.StructType(
     [
@@ -190,6 +190,7 @@ def _pass(docs: DataFrame, text_col: str, block: list[tuple[str, str]], window:
     passed = [f for f in docs.schema.fields if f.name not in added]
     before = [n for n in added if n in docs.columns]
     schema = T.StructType([*passed, *FOUND])
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(block)
     types = {f.name: f for f in _arrow_fields()}
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.llm.components import components
-from pixelloom.llm.textbytes import NOT_SPACE, find_words, mix, shingles, slices, text_buffer
+from pixelloom.llm.textbytes import NOT_SPACE, find_words, mix, shingles, slices, small_batches, text_buffer
 from pixelloom.session import cut
 
 ROWS, BANDS, BITS, HASHES = 5, 25, 4, 128
@@ -104,7 +104,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 found, first = shingle_sets(*text_buffer(part.column("text")), n)
                 full = np.flatnonzero(np.diff(first) > 0)
                 keys, packed = bands_and_signature(minima(found, first))
@@ -169,7 +169,7 @@ def _full_sets(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 found, first = shingle_sets(*text_buffer(part.column("text")), n)
                 mine = np.array([d == w.as_py() for d, w in zip(digests(found, first), part.column("node"))], bool)
                 items = [found[first[i] : first[i + 1]].tobytes() for i in np.flatnonzero(mine)]
@@ -184,6 +184,7 @@ def _full_sets(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, n
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): documents linked when 100 * intersection >= threshold * union."""
+    small_batches(docs.sparkSession)
     all_docs = cut(sketches(docs, id_col, text_col, n), "sketches")
     # the smallest doc_id of a class, and its sketch; equal sets have equal sketches
     classes = (

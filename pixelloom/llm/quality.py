@@ -25,7 +25,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.textbytes import NOT_SPACE, find_words, slices, text_buffer
+from pixelloom.llm.textbytes import NOT_SPACE, find_words, slices, small_batches, text_buffer
 from pixelloom.llm.toxicity import training_rows
 from pixelloom.session import cut
 
@@ -102,11 +102,12 @@ def statistics(raw: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
 
 def with_statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and one double column for each statistic."""
+    small_batches(docs.sparkSession)
     picked = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text", 2 << 20):
+            for part in slices(batch, "_text", 1 << 20):
                 values = statistics(*text_buffer(part.column("_text")))
                 columns = [*(part.column(k) for k in keep), *(pa.array(np.asarray(values[s], float)) for s in STATISTICS)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *STATISTICS])

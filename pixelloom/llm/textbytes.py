@@ -12,7 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20  # bytes hashed at a time: bounds memory, changes no result
+PIECE = 1 << 19  # bytes hashed at a time: bounds memory, changes no result
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def _random_words(n: int, seed: int) -> np.ndarray:
@@ -54,6 +55,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def small_batches(spark) -> None:
+    """Hand texts to Python in small Arrow batches, unless the session has chosen its own sizes.
+
+    A worker's memory then follows the batch, not the default of 10,000 rows, which long texts make large.
+    """
+    for key, default, value in (
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", "268435456", BATCH_BYTES),
+    ):
+        now = str(spark.conf.get(key, default))
+        if now.removesuffix("b") == default:
+            spark.conf.set(key, str(value))
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, bounds) of a string column: text i is bytes[bounds[i]:bounds[i+1]], a null one is empty."""
     if pa.types.is_large_string(column.type):

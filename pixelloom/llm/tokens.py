@@ -31,15 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pixelloom.llm.textbytes import NOT_SPACE, find_words, mix, slices, text_buffer
+from pixelloom.llm.textbytes import NOT_SPACE, find_words, mix, slices, small_batches, text_buffer
 from pixelloom.session import scratch_path
 
 MAGIC = b"EFTOKEN1"
 HEAD = struct.Struct("<8s6Q")
-BLOCK_IDS = 4 << 20
+BLOCK_IDS = 2 << 20
 SAMPLE = 256
 #: Distinct words that a task keeps encoded; a fuller cache starts anew, which costs time but changes nothing.
-CACHE_WORDS = 3 << 20
+CACHE_WORDS = 1 << 20
 
 
 class EliasFano:
@@ -153,8 +153,8 @@ class WordEncoder:
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         sizes, flat = [], []
-        for i in range(0, len(texts), 4096):
-            for e in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False):
+        for i in range(0, len(texts), 1024):
+            for e in self.tokenizer.encode_batch_fast(texts[i : i + 1024], add_special_tokens=False):
                 own = e.ids
                 sizes.append(len(own))
                 flat += own
@@ -204,6 +204,7 @@ def _encoder(path: str) -> WordEncoder:
 
 def encode_blocks(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", split_words: bool = True) -> DataFrame:
     """(first_id, part, seq, n_docs, n_ids, image) rows: the documents' token ids in ascending order of id_col."""
+    small_batches(docs.sparkSession)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = picked.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
@@ -228,7 +229,7 @@ def encode_blocks(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "d
 
         held = 0
         for batch in batches:
-            for piece in slices(batch, "text", 4 << 20):
+            for piece in slices(batch, "text", 1 << 20):
                 column = piece.column("text")
                 sizes, flat = encoder.words(*text_buffer(column)) if split_words else encoder.whole(column.to_pylist())
                 ended = np.full(len(flat) + len(sizes), end_id, np.uint32)
@@ -256,7 +257,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files."""
     blocks = spark.read.parquet(path)
     order = Window.orderBy(F.col("first_id").asc_nulls_first(), "part", "seq")
-    # a row a block of up to 4 million ids
+    # a row a block of up to 2 million ids
     starts = blocks.select("first_id", "part", "seq", "n_ids").withColumn("before", F.sum("n_ids").over(order) - F.col("n_ids")).select("part", "seq", "before")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.textbytes import mix, slices
+from pixelloom.llm.textbytes import mix, slices, small_batches
 from pixelloom.session import cut
 
 GRAMS = (3, 4, 5)
@@ -93,7 +93,7 @@ def _counts(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, 1 << BITS), np.int32)
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 19):
                 kind = part.column("label").to_numpy() > 0
                 owner, column = gram_columns(part.column("text").to_pylist())
                 for k in (0, 1):
@@ -108,6 +108,7 @@ def _counts(rows: DataFrame) -> DataFrame:
 
 def fit(rows: DataFrame) -> Model:
     """Fit on (text, label) rows, as ``training_rows`` makes them."""
+    small_batches(rows.sparkSession)
     rows = cut(rows.select("text", "label"), "toxic-rows")
     n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("label") > 0, 1).otherwise(0)), F.lit(0))).first()
     none = Model(np.zeros(1 << BITS), np.zeros(1 << BITS, bool), float(np.log((toxic + 1) / (n - toxic + 1))))
@@ -129,7 +130,7 @@ def fit(rows: DataFrame) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 19):
                 owner, column = gram_columns(part.column("text").to_pylist(), used)
                 cuts = np.searchsorted(owner, np.arange(part.num_rows + 1))
                 own = [np.sort(order[column[a:b]]).tolist() for a, b in zip(cuts[:-1], cuts[1:])]
@@ -148,12 +149,13 @@ def fit(rows: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` from 0 to 1; a column of that name is replaced."""
     docs = docs.drop("score")
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part in slices(batch, text_col, 2 << 20):
+            for part in slices(batch, text_col, 1 << 19):
                 owner, column = gram_columns(part.column(text_col).to_pylist(), m.used)
                 total = np.bincount(owner, m.weights[column], minlength=part.num_rows) + m.intercept
                 yield part.append_column("score", pa.array(1 / (1 + np.exp(-np.clip(total, -500, 500)))))
