@@ -61,7 +61,7 @@ def test_decontamination(spark, docs, none, block_bytes):
         if i is not None:
             for k in range(max(1, len(w) - 9) if w else 0):
                 windows[tuple(w[k : k + 10])].add(str(i))
-    lengths = {len(k) for k in windows}
+    lengths, spelled = {len(k) for k in windows}, [(str(i), WORD.findall(low(t))) for i, t in items]
     want = collections.Counter()
     for d, t, *_ in rows:
         w = WORD.findall(low(t))
@@ -76,9 +76,9 @@ def test_decontamination(spark, docs, none, block_bytes):
     assert collections.Counter((r.doc_id, r.n_words, r.n_hit, ",".join(r.hit_items)) for r in found) == want
     for r in found:
         assert r.contaminated == (r.n_hit > 0)
+        w = WORD.findall(low(r.text))
         for m in r.matches:
-            w, item = WORD.findall(low(r.text)), [x for i, t in items if str(i) == m.item_id for x in [WORD.findall(low(t))]]
-            assert any(w[m.doc_start : m.doc_start + m.n_words] == x[m.item_start : m.item_start + m.n_words] for x in item)
+            assert any(w[m.doc_start : m.doc_start + m.n_words] == x[m.item_start : m.item_start + m.n_words] for i, x in spelled if i == m.item_id)
     clash = docs.withColumnRenamed("lang", "n_words").withColumnRenamed("source", "matches")
     clean = decontaminate.remove_contaminated(clash, bench)
     assert clean.columns == clash.columns and clean.count() == sum(v for k, v in want.items() if not k[2])
