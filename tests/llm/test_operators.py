@@ -279,6 +279,9 @@ def test_secrets(spark, none):
         "plain words only, with identifierslikethisone here", None, "", "see qZ8xW3vK7pL2mR9tY4bN6cJ1hG5fD0sA here", "a " * 50_000,
     ]
     texts += [f"words of ordinary prose and some_identifier_names number {i} are written here as examples" for i in range(40)]
+    rng = np.random.Generator(np.random.PCG64(12))
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    texts += ["token = " + "".join(rng.choice(letters, 40)) for _ in range(150)]
     rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(0, texts[0], "en", "s", 1)]
     pattern = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
     got = secret_scan.secret_report(spark.createDataFrame(rows, DOCS)).collect()
