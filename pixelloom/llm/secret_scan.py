@@ -1,8 +1,8 @@
 """Secret scan: three fixed patterns, and character Markov models of random strings and ordinary identifiers.
 
 The patterns give the base spans. The models add long tokens that look random: first-order transitions between characters
-are counted in labelled samples, values of base spans as random strings and the other words of the same texts as
-identifiers, and smoothed towards equal chances. A token is added when its log-likelihood ratio passes a threshold and no
+are counted in labelled samples, values of base spans as random strings and the words of other texts as identifiers, and
+smoothed towards the frequency of the second character. A token is added when its log-likelihood ratio passes a threshold and no
 base span overlaps it. Counting reads at most about ``SAMPLE_DOCS`` documents, chosen by a hash of doc_id, and as many more
 that contain a base span; everything else reads all documents. Scoring has no shuffle, and all is DataFrame functions.
 
@@ -30,8 +30,8 @@ TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SAMPLE_DOCS = 4_000
 SMOOTHING = 2.0
-#: Log-likelihood ratio in nats, in total and for each transition, from which a token counts as random.
-LEAST_TOTAL, LEAST_MEAN = 12.0, 0.6
+#: Prior odds that a long token is an identifier: the log-likelihood ratio must outweigh them.
+IDENTIFIER_ODDS = 100.0
 
 SPAN = "array<struct<start:long,kind:int,end:long,value:string>>"
 
@@ -127,9 +127,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
     def logs(values: DataFrame) -> list[float]:
         # at most one row for each pair of characters of the alphabet
         counts = {r["pair"]: r["n"] for r in _transitions(values).collect()}
+        ends = [1 + sum(counts.get(a * size + b, 0) for a in range(size)) for b in range(size)]
         out = []
         for a in range(size):
-            row = [counts.get(a * size + b, 0) + SMOOTHING for b in range(size)]
+            # a rare first character says little: its row leans on how frequent the second one is at all
+            row = [counts.get(a * size + b, 0) + SMOOTHING * size * ends[b] / sum(ends) for b in range(size)]
             whole = math.log(sum(row))
             out += [math.log(x) - whole for x in row]
         return out
@@ -155,7 +157,7 @@ def find_secrets(docs: DataFrame, ratios: list[float], text_col: str = "text") -
         lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"), log_ratio(s["value"], ratios).alias("ratio")),
     )
     random = base.withColumn(
-        "_random", F.filter(tokens, lambda s: (s["ratio"] >= LEAST_TOTAL) & (s["ratio"] >= LEAST_MEAN * (s["end"] - s["start"] - 1)))
+        "_random", F.filter(tokens, lambda s: s["ratio"] >= math.log(IDENTIFIER_ODDS))
     )
     free = F.filter("_random", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     added = F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"))).cast(SPAN)
