@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pixelloom.functions.missing import finite
 from pixelloom.session import small_side
 
 # Rows of one key from which the key is treated as hot, and how many keys the sketch follows.
@@ -24,6 +25,13 @@ ACCURACY = 50_000
 SLACK = 4
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left.join(right, by, how)`` where NULL keys match each other."""
+    renamed = right.withColumnsRenamed({c: f"__by{i}" for i, c in enumerate(by)})
+    match = [F.col(c).eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate(by)]
+    return left.join(renamed, match, how).drop(*[f"__by{i}" for i in range(len(by))])
+
+
 def spread_rank(
     df: DataFrame, key: str, by: Sequence[str] = (), tie: Sequence[str] = (), out: str = "rn",
     prefix: int = 4,
@@ -44,8 +52,7 @@ def spread_rank(
     )
     local = W.partitionBy(*by, part).orderBy(key, *tie)
     return (
-        df.withColumn(out, F.row_number().over(local))
-        .join(shifts, [*by, part])
+        null_safe_join(df.withColumn(out, F.row_number().over(local)), shifts, [*by, part])
         .withColumn(out, (F.col(out) + F.col(shift)).cast("bigint"))
         .drop(part, shift)
     )
@@ -79,7 +86,7 @@ def exact_quantiles(
     it, about ``2 * SLACK / ACCURACY`` of a group (all of it up to ACCURACY rows). A bracket that missed its rank raises instead of guessing.
     """
     by, extra = list(by), list(extra)
-    df = df.withColumn("__v", F.col(value).cast("double"))
+    df = df.withColumn("__v", finite(F.col(value).cast("double")))
     slack = SLACK / ACCURACY
     edges = [max(p - slack, 0.0) for p in probs.values()] + [min(p + slack, 1.0) for p in probs.values()]
     k = len(probs)
@@ -107,7 +114,7 @@ def exact_quantiles(
     found = small_side(stats.select(*by, "__n", wanted.alias("__w"), *carried))
     brackets = found.drop(*carried)
     values = df.select(*by, "__v")
-    rows = values.join(brackets, by) if by else _attach_single(values, brackets)
+    rows = null_safe_join(values, brackets, by) if by else _attach_single(values, brackets)
     # one row per value becomes one row per (bracket, value-or-"below") and is combined map-side
     hits = (
         rows.select(*by, "__v", F.explode("__w").alias("w"))
@@ -138,7 +145,7 @@ def exact_quantiles(
         return wide
     kept = found.select(*by, *[F.col(c).alias(n) for c, n in zip(carried, names)])
     if by:
-        return kept.join(wide, by, "left")
+        return null_safe_join(kept, wide, by, "left")
     return kept.withColumn("__k", F.lit(1)).join(wide.withColumn("__k", F.lit(1)), "__k", "left").drop("__k")
 
 

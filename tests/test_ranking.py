@@ -76,3 +76,17 @@ def test_spread_rank_equals_row_number(skewed):
         assert ranked.filter("rn <> want").count() == 0 and ranked.count() == 60_000
     whole = spread_rank(keyed, "h", [], ["id"])
     assert whole.select("rn").distinct().count() == 60_000 and whole.agg(F.max("rn")).first()[0] == 60_000
+
+
+def test_null_group_and_nan_keep_their_place(spark):
+    from pyspark.sql import functions as F
+
+    from pixelloom.operators.ranking import exact_quantiles, spread_rank
+
+    nan = float("nan")
+    df = spark.createDataFrame([(1, "X", 5.0), (2, "X", nan), (3, None, 1.0), (4, None, 2.0), (5, None, 3.0)], "id int, trait string, v double")
+    ranked = spread_rank(df.withColumn("h", F.md5(F.col("id").cast("string"))), "h", ["trait"]).collect()
+    assert sorted((r.trait or "", r.rn) for r in ranked) == [("", 1), ("", 2), ("", 3), ("X", 1), ("X", 2)]
+    for extra in ((), (F.count(F.lit(1)).alias("n"),)):
+        got = {r.trait: r.med for r in exact_quantiles(df, ["trait"], "v", {"med": 0.5}, extra).collect()}
+        assert got == {None: 2.0, "X": 5.0}
