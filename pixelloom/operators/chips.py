@@ -12,6 +12,8 @@ from pixelloom.functions.missing import finite
 from pixelloom.grid import GridSpec
 
 CHIP = ["chip_row", "chip_col"]
+#: The set that holds the chips of every split.
+ALL = "all"
 
 
 def n_windows(length: int, patch: int, stride: int) -> int:
@@ -61,10 +63,16 @@ def overlap_report(splits_of_chips: DataFrame) -> DataFrame:
 def assign_chips(chip_pixels: DataFrame, strides: dict[str, int] | None = None, stride: int = 1) -> DataFrame:
     """Copy each chip into every split it overlaps. ``strides`` thins a split to its own stride.
 
-    Both sides have one chip's pixels per key, so the join groups are bounded by the patch area.
+    Splits that ``strides`` doesn't name are left out. ``"all"`` in it makes one more set, of every chip at that
+    stride. A stride has to be a multiple of the windows' ``stride``, else ``ValueError``. Both sides have one chip's pixels per key, so the join groups are bounded by the patch area.
     """
     owners = chip_pixels.select("chip_id", *CHIP, F.col("pixel_split").alias("split")).distinct()
     if strides:
+        uneven = {name: s for name, s in strides.items() if s <= 0 or s % stride}
+        if uneven:
+            raise ValueError(f"strides {uneven} are no multiples of {stride}")
+        if ALL in strides:
+            owners = owners.unionByName(chip_pixels.select("chip_id", *CHIP).distinct().withColumn("split", F.lit(ALL)))
         keep = F.lit(False)
         for name, s in strides.items():
             step = s // stride
@@ -75,7 +83,7 @@ def assign_chips(chip_pixels: DataFrame, strides: dict[str, int] | None = None,
     return chip_pixels.join(owners.drop(*CHIP), "chip_id")
 
 
-def require_valid_target(chips: DataFrame, y: str = "y", always: Sequence[str] = ("all",)) -> tuple[DataFrame, DataFrame]:
+def require_valid_target(chips: DataFrame, y: str = "y", always: Sequence[str] = (ALL,)) -> tuple[DataFrame, DataFrame]:
     """Drop (chip, split) pairs without a finite target among the split's own pixels.
 
     Splits in ``always`` are never dropped. The report counts kept and skipped chips per split.

@@ -87,8 +87,8 @@ def split_mask(
     chip_pixels: DataFrame, mask_predictors: bool = True, mask_targets: bool = True,
     predictors: Sequence[str] = ("pred",), targets: Sequence[str] = ("y",),
 ) -> DataFrame:
-    """Inside a chip, pixels of another split lose predictors and/or targets."""
-    own = F.col("pixel_split") == F.col("split")
+    """Inside a chip, pixels of another split lose predictors and/or targets; in ``"all"``, pixels of no split do."""
+    own = (F.col("pixel_split") == F.col("split")) | ((F.col("split") == "all") & F.col("pixel_split").isNotNull())
     names = (list(predictors) if mask_predictors else []) + (list(targets) if mask_targets else [])
     return chip_pixels.withColumns(
         {c: F.when(own, F.col(c)) for c in names if c in chip_pixels.columns}

@@ -38,12 +38,15 @@ class DenormOptions:
 
 
 def to_physical(df: DataFrame, rules: DataFrame, value: str = "v", key: str = "variable") -> DataFrame:
-    """Mask nodata, apply ``v*scale+offset``, drop values outside [valid_min, valid_max]."""
+    """Mask nodata, apply ``v*scale+offset``, drop values outside [valid_min, valid_max].
+
+    A rule without scale leaves values unscaled, whatever its offset.
+    """
     v = F.col(value)
     nodata = F.col("nodata")
     close = F.abs(v - nodata) <= F.lit(1e-8) + F.lit(1e-5) * F.abs(nodata)
     masked = F.when(nodata.isNull() | ~close, finite(v))
-    scaled = masked * F.coalesce("scale", F.lit(1.0)) + F.coalesce("offset", F.lit(0.0))
+    scaled = F.when(F.col("scale").isNull(), masked).otherwise(masked * F.col("scale") + F.coalesce("offset", F.lit(0.0)))
     rule_cols = ["nodata", "scale", "offset", "valid_min", "valid_max"]
     return (
         df.join(small_side(rules.select(key, *rule_cols)), key, "left")

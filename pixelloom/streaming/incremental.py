@@ -75,26 +75,26 @@ def mosaic_result(spark: SparkSession, path: str) -> DataFrame:
 
 def ingest_resume(
     spark: SparkSession, source: str, schema: StructType | str, path: str, checkpoint: str,
-    keys: Sequence[str] = ("tile_id",), event_time: str | None = None, delay: str = "1 day",
-    files_per_batch: int = 100, value: str | None = None,
+    keys: Sequence[str] = ("tile_id",), files_per_batch: int = 100, value: str | None = None,
 ) -> StreamingQuery:
-    """Each newly arrived tile once: finished files are skipped, unfinished batches are repeated.
+    """Each arriving key once, however late it comes or how often it is repeated.
 
-    With ``event_time``, repeats of a key within ``delay`` are dropped and older keys leave the
-    state; without it a batch is deduplicated on its own and state stays empty.
+    Finished files are skipped and unfinished batches repeated. A batch stores the keys that no
+    earlier batch holds; the stored keys themselves are the state, so nothing expires and no
+    executor has to keep them. A repeated batch overwrites its own folder and compares itself with
+    the batches before it only. NULL is a key like any other; rows whose ``value`` is missing are skipped.
     """
     stream = read_stream(spark, source, schema, files_per_batch)
-    if event_time:
-        stream = stream.withColumn(event_time, F.col(event_time).cast("timestamp"))
     if value:
         stream = stream.filter(finite(F.col(value)).isNotNull())
-    if event_time:
-        stream = stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        (batch if event_time else batch.dropDuplicates(list(keys))).write.mode("overwrite").parquet(
-            f"{path}/batch={batch_id}"
-        )
+        new = batch.dropDuplicates(list(keys))
+        if batch_id > 0:
+            held = batch.sparkSession.read.parquet(path).filter(F.col("batch") < batch_id)
+            held = held.select(*[F.col(k).alias(f"__held{i}") for i, k in enumerate(keys)])
+            new = new.join(held, [F.col(k).eqNullSafe(F.col(f"__held{i}")) for i, k in enumerate(keys)], "left_anti")
+        new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
         stream.writeStream.option("checkpointLocation", checkpoint)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelloom import GridSpec
-from pixelloom.operators import cells, chips, hist, masks, quality, resample, sampling, splits, zones
+from pixelloom.operators import cells, chips, hist, masks, quality, resample, sampling, splits, transforms, zones
 from pixelloom.session import cut
 
 GRID = GridSpec("EPSG:6933", 10_000.0, 0.0, -10_000.0, 300_000.0, 30, 24)
@@ -323,3 +323,25 @@ def test_target_layout():
     with pytest.raises(ValueError):
         chips.target_layout(["X1"], ["mean"], ["X9"])
 
+
+
+def test_all_set_and_strides_of_chips(spark):
+    _rows, df = pixels(spark, 5, 1.0)
+    windows = chips.pixel_to_chip(df, GRID, 8, 4).withColumn("pixel_split", F.when(F.col("row") < 10, "train").when(F.col("row") < 20, "val"))
+    copies = cut(chips.assign_chips(windows, {"train": 4, "val": 8, "all": 8}, 4))
+    at = lambda split, step: windows.where(split).where(f"chip_row % {step} = 0 AND chip_col % {step} = 0").select("chip_id").distinct().count()
+    got = {r.split: r.n for r in copies.groupBy("split").agg(F.count_distinct("chip_id").alias("n")).collect()}
+    assert got == {"train": at("pixel_split = 'train'", 1), "val": at("pixel_split = 'val'", 2), "all": at("true", 2)}
+    masked = masks.split_mask(copies.withColumns({"y": F.lit(1.0), "pred": F.lit(1.0)})).where("split = 'all'")
+    assert masked.where("(y IS NOT NULL) <> (pixel_split IS NOT NULL)").isEmpty() and masked.where("y IS NOT NULL").count() > 0
+    with pytest.raises(ValueError, match="multiples"):
+        chips.assign_chips(windows, {"train": 12}, 8)
+
+
+def test_offset_without_scale_leaves_values(spark):
+    rules = spark.createDataFrame(
+        [("a", None, None, 5.0, None, None), ("b", None, 2.0, None, None, None), ("c", None, 2.0, 5.0, None, None)],
+        "variable string, nodata double, scale double, offset double, valid_min double, valid_max double",
+    )
+    values = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 1.0), ("d", 1.0)], "variable string, v double")
+    assert {r.variable: r.v for r in transforms.to_physical(values, rules).collect()} == {"a": 1.0, "b": 2.0, "c": 7.0, "d": 1.0}

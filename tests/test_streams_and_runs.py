@@ -1,5 +1,7 @@
 """Streams equal their batch twins; run tables and sinks."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,14 +44,22 @@ def test_mosaic_stream_equals_batch_and_resumes(spark):
 
 def test_ingest_takes_new_files_once(spark):
     src, out = scratch_path(spark, "src"), scratch_path(spark, "out")
-    batch = lambda a, b: spark.range(a, b).select(F.col("id").alias("tile_id"), F.lit("2024-01-01").cast("timestamp").alias("ts"))
-    batch(0, 10).write.parquet(src)
-    run = lambda: incremental.ingest_resume(spark, src, "tile_id bigint, ts timestamp", out, f"{out}-ck", event_time="ts").awaitTermination()
-    run()
-    batch(5, 15).write.mode("append").parquet(src)
-    run()
+    schema = "tile_id bigint, ts timestamp"
+    run = lambda: incremental.ingest_resume(spark, src, schema, out, f"{out}-ck").awaitTermination()
+    stored = lambda: sorted((-1 if r.tile_id is None else r.tile_id) for r in spark.read.parquet(out).collect())
+
+    def arrive(ids, day):
+        ts = datetime.fromisoformat(day)
+        spark.createDataFrame([(i, ts) for i in ids], schema).write.mode("append").parquet(src)
+        run()
+
+    arrive([0, 1, 2, 3, 4, None], "2024-02-01")
+    # a month late, with two repeats and a repeated NULL
+    arrive([3, 4, 5, 6, 7, 8, 9, None], "2024-01-01")
     run()
-    assert sorted(r.tile_id for r in spark.read.parquet(out).collect()) == list(range(15))
+    assert stored() == list(range(-1, 10))
+    arrive(range(5, 15), "2025-01-01")
+    assert stored() == list(range(-1, 15))
 
 
 def test_selection_rules(spark):
