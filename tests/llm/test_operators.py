@@ -322,3 +322,65 @@ def test_lines(spark, none):
     out = {r.doc_id: r.text for r in line_dedup.deduplicate_lines(frame).collect()}
     assert out[1] == rows[0][1] and out[5] == "page 1 of the same text" and out[3] is None
     assert line_dedup.line_report(none).count() == 0
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        held, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            held, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, held + (x != y))
+    return row[-1]
+
+
+def test_line_groups_by_brute_force(spark):
+    """Chains of near copies, different lines under a common mark, and lines of one bucket in several components."""
+    rng = np.random.Generator(np.random.PCG64(21))
+    letters = list("abcdefghij")
+    word = lambda: "".join(rng.choice(letters, 6))
+    texts = []
+    for _ in range(4):
+        words = [word() for _ in range(40)]
+        for i in range(10):
+            own = list(words)
+            own[int(rng.integers(0, 40))] = word()
+            texts.append(" ".join(own))
+            if i % 3 == 0:
+                words = own
+    texts += [" | ".join(word() for _ in range(12)) for _ in range(30)]
+    hashes = []
+    for t in texts:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        hashes.append(int(line_dedup.line_hashes(raw, np.array([0, len(raw)]))[3][0]) & (2**64 - 1))
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            near = (hashes[i] ^ hashes[j]).bit_count() <= line_dedup.BITS
+            if near and edit_distance(texts[i], texts[j]) <= int(max(len(texts[i]), len(texts[j])) * line_dedup.EDITS):
+                group = [group[j] if g == group[i] else g for g in group]
+    want = {i: int(i != group.index(g)) for i, g in enumerate(group)}
+    assert 0 < sum(want.values()) and not any(want[i] for i in range(40, 70))
+    # a common mark does not decide the hash
+    assert len(set(hashes[40:])) == 30
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    assert {r.doc_id: r.n_dropped for r in line_dedup.line_report(frame).collect()} == want
+
+
+def test_finer_pieces_lose_no_pair(spark):
+    """Any two hashes within three bits that share a bucket share one of its pieces."""
+    rng = np.random.Generator(np.random.PCG64(22))
+    rows = []
+    for i in range(200):
+        x = int(rng.integers(0, 1 << 63))
+        y = x
+        for b in rng.choice(64, 3, replace=False):
+            y ^= 1 << int(b)
+        blocks = [[(v >> a) & ((1 << (e - a)) - 1) for a, e in zip(line_dedup.BLOCK_ENDS[:-1], line_dedup.BLOCK_ENDS[1:])] for v in (x, y)]
+        for k, (p, q) in enumerate((p, q) for p in range(5) for q in range(p + 1, 5)):
+            if blocks[0][p] == blocks[1][p] and blocks[0][q] == blocks[1][q]:
+                key = (blocks[0][p] << 16) | blocks[0][q] | (k << 40)
+                rows += [(key, n, v - (1 << 64) if v >> 63 else v, n) for n, v in ((2 * i, x), (2 * i + 1, y))]
+    assert {r[1] for r in rows} == set(range(400))
+    frame = spark.createDataFrame(rows, "key long, node long, simhash long, root long")
+    found = {(r.a, r.b) for r in line_dedup._across(line_dedup._finer(frame)).collect()}
+    assert {(2 * i, 2 * i + 1) for i in range(200)} <= found
