@@ -121,14 +121,11 @@ def _(t):
 
 
 @query("T1_top_overlap", """
-SELECT trait, n_overlap, count(*) AS n_used, round(corr(y, p), 6) AS pearson_r
-FROM ranked WHERE rn <= 1000 GROUP BY trait, n_overlap""", {
-    "top": "SELECT trait, count(*) AS n_overlap FROM pairs GROUP BY trait ORDER BY n_overlap DESC, trait LIMIT 9",
-    "ranked": """SELECT p.*, n_overlap, row_number() OVER (PARTITION BY p.trait
-        ORDER BY md5('7:' || p.row || ':' || p.col), p.row, p.col) AS rn
-        FROM pairs p JOIN top ON top.trait = p.trait WHERE n_overlap >= 10"""})
-def _(t):
-    return rounded(sampling.top_overlap(t.pairs, n=9, max_pairs=1000, seed=7))
+SELECT p.trait, n_overlap, count(*) AS n_used, round(corr(y, p), 6) AS pearson_r
+FROM pairs p JOIN top ON top.trait = p.trait WHERE n_overlap >= 10 GROUP BY p.trait, n_overlap""", {
+    "top": "SELECT trait, count(*) AS n_overlap FROM pairs GROUP BY trait ORDER BY n_overlap DESC, trait LIMIT 9"})
+def _(t):
+    return rounded(sampling.top_overlap(t.pairs, n=9))
 
 
 @query("U1_trait_union", "SELECT trait FROM aux_t UNION SELECT trait FROM params")

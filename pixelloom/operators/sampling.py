@@ -109,15 +109,20 @@ def cap_per_channel(df: DataFrame, max_pixels: int, seed: int) -> DataFrame:
 
 
 def top_overlap(
-    pairs: DataFrame, n: int = 9, min_pairs: int = 10, max_pairs: int = 5000, seed: int = 0
+    pairs: DataFrame, n: int = 9, min_pairs: int = 10, max_pairs: int | None = None, seed: int = 0
 ) -> DataFrame:
-    """Traits with most overlap and the correlation of a seeded sample of their pairs."""
+    """Traits with most overlap and the correlation of all their pairs.
+
+    Moments combine before the shuffle, so all pairs cost less than a sample; ``max_pairs`` asks for a seeded one.
+    """
     from pixelloom.operators.metrics import trait_metrics
 
     counts = pairs.groupBy("trait").agg(F.count(F.lit(1)).alias("n_overlap"))
     top = small_side(counts.orderBy(F.desc("n_overlap"), "trait").limit(n).filter(F.col("n_overlap") >= min_pairs))
-    sampled = sample_exact(pairs.join(top, "trait"), ["row", "col"], n=max_pairs, seed=seed, by=["trait"])
-    return trait_metrics(sampled, ["trait", "n_overlap"]).select(
+    used = pairs.join(top, "trait")
+    if max_pairs is not None:
+        used = sample_exact(used, ["row", "col"], n=max_pairs, seed=seed, by=["trait"])
+    return trait_metrics(used, ["trait", "n_overlap"]).select(
         "trait", "n_overlap", F.col("n_valid").alias("n_used"), "pearson_r"
     )
 
