@@ -384,3 +384,35 @@ def test_finer_pieces_lose_no_pair(spark):
     frame = spark.createDataFrame(rows, "key long, node long, simhash long, root long")
     found = {(r.a, r.b) for r in line_dedup._across(line_dedup._finer(frame)).collect()}
     assert {(2 * i, 2 * i + 1) for i in range(200)} <= found
+
+
+def near_copies(length, n, seed):
+    """Pairs of a random line and one with up to a tenth of its characters replaced, left out or doubled up, all spread."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    letters, out = list("abcdefghijklmnopqrstuvwxyz"), []
+    for _ in range(n):
+        line = ""
+        while len(line) < length:
+            line += "".join(rng.choice(letters, int(rng.integers(2, 9)))) + " "
+        line = line[:length].strip().ljust(length, "x")
+        other = list(line)
+        for p in rng.choice(length, int(rng.integers(1, length // 10 + 1)), replace=False):
+            c = str(rng.choice(letters))
+            other[p] = (c, "", other[p] + c)[int(rng.integers(0, 3))]
+        out.append((line, "".join(other).strip()))
+    return out
+
+
+def test_line_recall_against_edit_similarity(spark):
+    """Of the pairs that edit similarity alone joins, nine tenths of each length are found."""
+    rows, classes = [], {}
+    for length in (12, 20, 35, 60, 100, 200):
+        for a, b in near_copies(length, 80, length):
+            if a != b and edit_distance(a, b) <= int(max(len(a), len(b)) * line_dedup.EDITS):
+                classes[len(rows)] = length
+                rows += [(len(rows), a, "en", "s", 1), (len(rows) + 1, b, "en", "s", 1)]
+    got = {r.doc_id: r.n_dropped for r in line_dedup.line_report(spark.createDataFrame(rows, DOCS), 1).collect()}
+    assert not any(got[i] for i in classes)
+    for length in set(classes.values()):
+        own = [got[i + 1] for i, x in classes.items() if x == length]
+        assert len(own) >= 50 and sum(own) >= 0.9 * len(own), (length, sum(own), len(own))
