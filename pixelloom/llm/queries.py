@@ -41,7 +41,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op3_lines")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document, and how many repeat earlier ones, exactly or nearly."""
-    return line_dedup.line_report(_table(spark, sf_dir, "documents"))
+    return line_dedup.line_report(_table(spark, sf_dir, "documents"), least_words=1)
 
 
 @_query("op4_quality")

@@ -416,3 +416,14 @@ def test_line_recall_against_edit_similarity(spark):
     for length in set(classes.values()):
         own = [got[i + 1] for i, x in classes.items() if x == length]
         assert len(own) >= 50 and sum(own) >= 0.9 * len(own), (length, sum(own), len(own))
+
+
+def test_query_counts_every_line(spark, tmp_path):
+    """Short lines and lines in scripts without blanks are lines: repeats go, near copies by characters."""
+    from pixelloom.llm.queries import QUERIES
+
+    han = "".join(chr(0x4E00 + 37 * i % 5000) for i in range(30))
+    texts = ["Les.\n\n \t\nMenu", "les.\nMENU\nNenu", han + "\nPage 12", han[:11] + "的" + han[12:] + "\npage 97", "Contact us today", "Contact us toda"]
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in QUERIES["op3_lines"](spark, str(tmp_path)).collect()}
+    assert got == {0: (2, 0), 1: (3, 2), 2: (2, 0), 3: (2, 2), 4: (1, 0), 5: (1, 1)}
