@@ -5,7 +5,8 @@ benchmark item; an item with fewer words, but not none, is one window. Each task
 MB and builds a suffix array of every shard: the positions of its words, ordered by the words that follow. Positions whose
 first words begin no window can match none and are left out beforehand, which changes no result. Every distinct
 benchmark suffix, as long as a window, is then found by binary search; the array range between its two bounds holds all
-its occurrences. Consecutive occurrences are joined into verbatim matches with their places.
+its occurrences. Consecutive occurrences of one item, each a word further in the item and in the document, are joined into the
+longest verbatim matches with their places: one for every item, and place in it, that the document copies.
 
 No shuffle: documents stay where they are read, and the benchmark comes to them. It is cut into blocks of at most about
 ``block_bytes`` of text by a hash of item_id; only one block is sent to the tasks at a time, and with several blocks each
@@ -71,7 +72,6 @@ class WindowIndex:
         for r, k in enumerate(keys):
             self.rows[r, : len(k)] = k
         self.places = [set(windows[k]) for k in keys]
-        self.first_place = [windows[k][0] for k in keys]
         self.items = [{i for i, _ in windows[k]} for k in keys]
         self.ids = [i for i, _ in items]
         # prefixes of windows, grown a word at a time as far as the shortest window: what must follow a kept position
@@ -156,6 +156,7 @@ def shard_matches(raw: np.ndarray, bounds: np.ndarray, index: WindowIndex) -> It
         spans: list[list[int]] = []
         items: set[int] = set()
         matches: list[list] = []
+        now, before, carried = -1, {}, {}
         while at < len(hits) and hits[at][0] < end:
             p, w = hits[at]
             at += 1
@@ -170,12 +171,17 @@ def shard_matches(raw: np.ndarray, bounds: np.ndarray, index: WindowIndex) -> It
             else:
                 spans.append([here, here + n])
             items |= index.items[w]
-            # carry a match on where its item goes on alike, else begin one with the first item that has the window
-            last = matches[-1] if matches else None
-            if last and here - last[2] + n > last[3] and (last[0], last[1] + here - last[2]) in index.places[w]:
-                last[3] = here - last[2] + n
-            elif not last or here + n > last[2] + last[3]:
-                matches.append([*index.first_place[w], here, n])
+            # an item's places differ from the document's by its diagonal: a match goes on while each next window is there
+            if here != now:
+                before, carried, now = carried if now == here - 1 else {}, {}, here
+            for i, j in index.places[w]:
+                match = before.get((i, j - here))
+                if match is None:
+                    match = [i, j, here, n]
+                    matches.append(match)
+                match[3] = here - match[2] + n
+                carried[i, j - here] = match
+        matches.sort(key=lambda m: (m[2], index.ids[m[0]], m[1], m[0]))
         yield (
             int(counts[d]),
             [{"start": a, "end": b} for a, b in spans],

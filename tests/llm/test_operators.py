@@ -427,3 +427,26 @@ def test_query_counts_every_line(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n_lines, r.n_dropped) for r in QUERIES["op3_lines"](spark, str(tmp_path)).collect()}
     assert got == {0: (2, 0), 1: (3, 2), 2: (2, 0), 3: (2, 2), 4: (1, 0), 5: (1, 1)}
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 200])
+def test_matches_are_the_longest(spark, block_bytes):
+    """Shared preambles, repeated windows, and items inside other items, against all common runs by brute force."""
+    preamble, own = [f"p{i}" for i in range(30)], [f"q{i}" for i in range(15)]
+    turn = [f"r{i}" for i in range(12)]
+    items = [(1, [*preamble, "ends"]), (2, [*preamble, *own]), (3, [*turn, "x", *turn, "y"]), (4, own[1:13]), (5, ["short", "one"]), (6, ["z"] * 14)]
+    texts = [["a", *preamble, *own, "b"], [*turn, "y", "and", *turn, "x", *turn], ["one", "short", "one", *own, "short", "one"], ["z"] * 17, ["nothing"]]
+    want = collections.Counter()
+    for d, w in enumerate(texts):
+        for i, x in items:
+            n, same = min(10, len(x)), lambda j, k: 0 <= j < len(x) and 0 <= k < len(w) and x[j] == w[k]  # noqa: B023
+            for j in range(len(x)):
+                for k in range(len(w)):
+                    if same(j, k) and not same(j - 1, k - 1):
+                        length = next(m for m in range(1, 99) if not same(j + m, k + m))
+                        if length >= n:
+                            want[d, str(i), j, k, length] += 1
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")
+    found = decontaminate.find_contamination(docs, bench, block_bytes=block_bytes).collect()
+    assert collections.Counter((r.doc_id, m.item_id, m.item_start, m.doc_start, m.n_words) for r in found for m in r.matches) == want
