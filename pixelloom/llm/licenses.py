@@ -1,9 +1,11 @@
 """Licence scan: digests of canonical texts, joined to the digests of known licences.
 
 Text is made canonical - copyright lines dropped, lower case, equivalent spellings alike, punctuation and white space as
-single blanks - and hashed as a whole. Units are entire documents and entire lines of them, so a licence file and a notice
-line are both found; a text that only contains a licence among other words on the same line is not. The known texts are a
-table of (license_id, text); the default one holds common notices.
+single blanks - and hashed as a whole. Units are entire documents, entire lines of them and two lines after one another, so a
+licence file, a notice line and a notice wrapped once are found; a text that only contains a licence among other words on the
+same line is not. The known texts are a table of (license_id, text) or (license_id, digest), or both columns with nulls. The
+default one holds common notices and ``license_digests.tsv``: digests of the whole texts of common licences, with and without
+title, rights line, appendix and https addresses, as they are wrapped, with a line a paragraph, and wrapped at usual widths.
 
 Defined cases: null and empty texts have the digest of the empty text and match nothing; known rows without id or words are
 ignored; of several known texts with one digest the smallest id counts; line findings are per doc_id, so rows that repeat
@@ -12,6 +14,8 @@ one share them; rows without doc_id share theirs as well.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,19 +51,33 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"\x20+", " "))
 
 
-def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(NOTICES, "license_id string, text string")
+def known_licenses(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """The known licences in the table at ``path``, or the default ones."""
+    if path is not None:
+        return spark.read.parquet(path)
+    digests = [line.split("\t") for line in Path(__file__).with_name("license_digests.tsv").read_text().splitlines()]
+    return spark.createDataFrame([*((i, t, None) for i, t in NOTICES), *((i, None, d) for i, d in digests)], "license_id string, text string, digest string")
+
 
+def scan(docs: DataFrame, known: DataFrame | str | None = None, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``digest`` and ``license`` of the whole text and ``line_licenses``, the sorted ids found on lines.
 
-def scan(docs: DataFrame, known: DataFrame | None = None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``digest`` and ``license`` of the whole text and ``line_licenses``, the sorted ids found on lines."""
-    known = known_licenses(docs.sparkSession) if known is None else known
+    ``known``: the known licences, or the path of their table.
+    """
+    if known is None or isinstance(known, str):
+        known = known_licenses(docs.sparkSession, known)
     docs = docs.drop("digest", "license", "line_licenses")
-    table = known.select("license_id", canonical(F.col("text")).alias("body")).where("license_id IS NOT NULL AND body <> ''")
-    table = table.groupBy(F.sha2("body", 256).alias("_digest")).agg(F.min("license_id").alias("license"))
+    own = F.lit(None).cast("string")
+    if "text" in known.columns:
+        body = canonical(F.col("text"))
+        own = F.when(body != "", F.sha2(body, 256))
+    table = known.select("license_id", F.coalesce("digest", own).alias("_digest") if "digest" in known.columns else own.alias("_digest"))
+    table = table.where("license_id IS NOT NULL AND _digest IS NOT NULL").groupBy("_digest").agg(F.min("license_id").alias("license"))
     text = F.col(f"`{text_col}`").cast("string")
     whole = docs.withColumn("digest", F.sha2(canonical(text), 256)).join(table, F.col("digest") == F.col("_digest"), "left").drop("_digest")
-    lines = docs.select("doc_id", F.explode(F.split(text, "\n", -1)).alias("line")).select("doc_id", F.sha2(canonical(F.col("line")), 256).alias("_digest"))
+    split = F.split(text, "\n", -1)
+    wrapped = F.zip_with(F.slice(split, F.lit(1), F.size(split) - 1), F.slice(split, F.lit(2), F.size(split)), lambda x, y: F.concat(x, F.lit("\n"), y))
+    lines = docs.where(text.isNotNull()).select("doc_id", F.explode(F.concat(split, wrapped)).alias("line")).select("doc_id", F.sha2(canonical(F.col("line")), 256).alias("_digest"))
     on_lines = lines.join(table, "_digest").groupBy(F.col("doc_id").alias("_id")).agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"))
     return whole.join(on_lines, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id").withColumn("line_licenses", F.coalesce("line_licenses", F.lit("")))
 

@@ -450,3 +450,39 @@ def test_matches_are_the_longest(spark, block_bytes):
     bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")
     found = decontaminate.find_contamination(docs, bench, block_bytes=block_bytes).collect()
     assert collections.Counter((r.doc_id, m.item_id, m.item_start, m.doc_start, m.n_words) for r in found for m in r.matches) == want
+
+
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def test_whole_license_texts_and_wrapped_notices(spark, tmp_path):
+    flat = "\n\n".join(" ".join(p.split()) for p in MIT_TEXT.split("\n\n"))
+    texts = [MIT_TEXT, MIT_TEXT.split("\n\n", 2)[2], flat, "words\nReleased under\nthe MIT License.\nmore", MIT_TEXT + "and more", "of my own"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: (r.license, r.line_licenses) for r in licenses.license_report(docs).collect()}
+    assert got == {0: ("MIT", ""), 1: ("MIT", ""), 2: ("MIT", ""), 3: (None, "MIT"), 4: (None, ""), 5: (None, "")}
+    digest = hashlib.sha256(b"of my own").hexdigest()
+    spark.createDataFrame([("Own", None, digest), ("More", "words", None), (None, "more", None)], "license_id string, text string, digest string").write.parquet(f"{tmp_path}/known")
+    got = {r.doc_id: (r.license, r.line_licenses) for r in licenses.scan(docs, f"{tmp_path}/known").collect()}
+    assert got[5] == ("Own", "Own") and got[3] == (None, "More") and got[0] == (None, "")
