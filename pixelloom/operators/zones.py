@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,83 +13,102 @@ from pyspark.sql import functions as F
 from pixelloom.functions.missing import finite
 from pixelloom.grid import GridSpec
 from pixelloom.operators.ranking import exact_quantiles
-from pixelloom.session import cut, small_side
+from pixelloom.session import cut
 
 NO_ZONE = -1
-# Polygon vertices, over all buckets, up to which the bucket table is broadcast.
-MAX_VERTICES = 2_000_000
+# Grid rows whose zone runs are worked out together; their number of polygon crossings bounds a group.
+STRIPE = 16
 AUX, PRIMARY = 1, 2
 
 
-def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Even-odd rule over the edges of a ring (array of struct<x, y>, open or closed).
-
-    An edge counts when its half-open y-range holds the point and it crosses to the right.
-    """
-    n = F.size(ring)
-    crossings = F.aggregate(
-        F.sequence(F.lit(0), n - 1),
-        F.lit(0),
-        lambda acc, i: acc + _crosses(x, y, F.get(ring, i), F.get(ring, (i + 1) % n)),
+def zone_edges(zones: DataFrame) -> DataFrame:
+    """``ord, zone_id, ax, ay, bx, by``: the edges of all rings (array of struct<x, y>, open or closed)."""
+    n = F.size("ring")
+    ahead = F.concat(F.slice("ring", F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice("ring", 1, 1))
+    edges = F.zip_with(
+        "ring", ahead, lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by"))
     )
-    return crossings % 2 == 1
-
+    return zones.select("ord", "zone_id", F.explode(edges).alias("e")).select("ord", "zone_id", "e.*")
 
-def _crosses(x: Column, y: Column, a: Column, b: Column) -> Column:
-    spans = (a["y"] > y) != (b["y"] > y)
-    at = a["x"] + F.try_divide((y - a["y"]) * (b["x"] - a["x"]), b["y"] - a["y"])
-    return F.when(spans & (x < at), 1).otherwise(0)
 
+def zone_crossings(zones: DataFrame, grid: GridSpec) -> DataFrame:
+    """``row, ord, zone_id, k``: the first column right of where an edge crosses the centre line of a grid row.
 
-def pixel_to_zone(df: DataFrame, zones: DataFrame, grid: GridSpec, buckets: int = 64) -> DataFrame:
-    """Zone of each pixel centre: the last polygon (``ord``) holding it, -1 for none.
-
-    Zones are cut into buckets of the grid, each bucket carrying its few candidate polygons as one
-    array; a pixel meets exactly one bucket row. So there is no range join, no pixel is duplicated
-    and, with few vertices (counted first), no shuffle. Beyond that the bucket join is shuffled and
-    dense buckets are left to adaptive skew splitting.
+    An edge counts when its half-open y-range holds the line. Rows and columns come from arithmetic and are then
+    moved to where the comparison of the coordinates themselves puts them.
     """
-    bw, bh = max(-(-grid.width // buckets), 1), max(-(-grid.height // buckets), 1)
-    z = zones.withColumns(
-        {
-            "x0": F.array_min(F.transform("ring", lambda p: p["x"])),
-            "x1": F.array_max(F.transform("ring", lambda p: p["x"])),
-            "y0": F.array_min(F.transform("ring", lambda p: p["y"])),
-            "y1": F.array_max(F.transform("ring", lambda p: p["y"])),
-        }
+    top, bottom = F.greatest("ay", "by"), F.least("ay", "by")
+    first = F.greatest(F.floor(grid.fractional_row(top) - F.lit(0.5)), F.lit(0)).cast("int")
+    last = F.least(F.floor(grid.fractional_row(bottom) - F.lit(0.5)) + 1, F.lit(grid.height - 1)).cast("int")
+    rows = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    hits = zone_edges(zones).withColumn("row", F.explode(rows)).withColumn("__y", grid.y("row"))
+    y = F.col("__y")
+    hits = hits.filter((F.col("ay") > y) != (F.col("by") > y)).withColumn(
+        "at", F.col("ax") + (y - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))
     )
+    k = F.ceil(grid.fractional_col("at") - F.lit(0.5))
+    hits = hits.withColumn("k", F.greatest(F.least(k, F.lit(grid.width)), F.lit(0)).cast("int"))
+    k, at = F.col("k"), F.col("at")
+    k = F.when((k > 0) & (grid.x(k - 1) >= at), k - 1).when((k < grid.width) & (grid.x(k) < at), k + 1).otherwise(k)
+    return hits.select("row", "ord", "zone_id", k.alias("k"))
 
-    def bucket_range(lo: Column, hi: Column, n: int, size: int) -> Column:
-        first = F.greatest(F.floor(lo / size), F.lit(0)).cast("int")
-        last = F.least(F.floor(hi / size), F.lit((n - 1) // size)).cast("int")
-        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
-    cut_up = (
-        z.withColumn("bc", F.explode(bucket_range(grid.fractional_col("x0"), grid.fractional_col("x1"), grid.width, bw)))
-        .withColumn("br", F.explode(bucket_range(grid.fractional_row("y1"), grid.fractional_row("y0"), grid.height, bh)))
-        .groupBy("br", "bc")
-        .agg(F.collect_list(F.struct("ord", "zone_id", "ring", "x0", "x1", "y0", "y1")).alias("cand"))
-    )
-    weight = F.aggregate("cand", F.lit(0), lambda n, c: n + F.size(c["ring"]))
-    vertices = cut_up.agg(F.sum(weight)).first()[0] or 0
-    candidates = small_side(cut_up) if vertices <= MAX_VERTICES else cut_up
-    placed = df.withColumns(
-        {
-            "__x": grid.x("col"), "__y": grid.y("row"),
-            "br": F.floor(F.col("row") / bh).cast("int"), "bc": F.floor(F.col("col") / bw).cast("int"),
-        }
-    )
-    x, y = F.col("__x"), F.col("__y")
-    inside = F.filter(
-        "cand",
-        lambda c: (x >= c["x0"]) & (x <= c["x1"]) & (y >= c["y0"]) & (y <= c["y1"]) & point_in_ring(x, y, c["ring"]),
+def zone_runs(zones: DataFrame, grid: GridSpec, stripe: int = STRIPE) -> DataFrame:
+    """``row, col, zone_id``: from ``col`` on, up to the next run of the row, this zone lies on top (-1: none).
+
+    A pixel is in a polygon when the crossings up to it are odd in number, so a polygon's crossings of a row, sorted
+    and counted, open and close its spans in turn; crossings at one column cancel in pairs. Rows of the zone table
+    with the same ``ord`` and ``zone_id`` are one polygon, which is how holes and islands are written. Where spans
+    of several polygons overlap, the last ``ord`` wins: the spans of a stripe of rows are cut at all their ends, and
+    the pieces keep their greatest ``ord``.
+    """
+    odd = (
+        zone_crossings(zones, grid).groupBy("row", "ord", "zone_id", "k").agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") % 2 == 1)
     )
-    last = F.array_max(F.transform(inside, lambda c: F.struct(c["ord"], c["zone_id"])))
-    return (
-        placed.join(candidates, ["br", "bc"], "left")
-        .withColumn("zone_id", F.coalesce(last["zone_id"], F.lit(NO_ZONE)))
-        .drop("br", "bc", "cand", "__x", "__y")
+    w = W.partitionBy("row", "ord", "zone_id").orderBy("k")
+    spans = (
+        odd.withColumns({"nth": F.row_number().over(w), "to": F.lead("k").over(w)}).filter("nth % 2 = 1 and k < to")
+        .select("row", "k", "to", F.col("ord").cast("bigint").alias("ord"), "zone_id", F.floor(F.col("row") / stripe).alias("stripe"))
     )
+    zone_type = zones.schema["zone_id"].dataType.simpleString()
+    return spans.groupBy("stripe").applyInArrow(_top_runs, f"row int, col int, zone_id {zone_type}")
+
+
+def _top_runs(spans: pa.Table) -> pa.Table:
+    row, lo, hi, order = (spans.column(c).to_numpy().astype(np.int64) for c in ("row", "k", "to", "ord"))
+    zone = spans.column("zone_id").to_numpy()
+    wide = int(hi.max()) + 1
+    cuts = np.unique(np.concatenate((row * wide + lo, row * wide + hi)))
+    first, last = np.searchsorted(cuts, row * wide + lo), np.searchsorted(cuts, row * wide + hi)
+    pieces = last - first
+    owner = np.repeat(np.arange(len(row)), pieces)
+    piece = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces) + first[owner]
+    by_order = np.lexsort((zone[owner], order[owner], piece))
+    piece, owner = piece[by_order], owner[by_order]
+    top = np.append(piece[1:] != piece[:-1], True)
+    zones = np.full(len(cuts), NO_ZONE, zone.dtype)
+    zones[piece[top]] = zone[owner[top]]
+    # a run begins where the zone changes or the row does
+    begins = np.append(True, (zones[1:] != zones[:-1]) | (cuts[1:] // wide != cuts[:-1] // wide))
+    found = {"row": (cuts[begins] // wide).astype(np.int32), "col": (cuts[begins] % wide).astype(np.int32), "zone_id": zones[begins]}
+    return pa.table(found)
+
+
+def pixel_to_zone(df: DataFrame, zones: DataFrame, grid: GridSpec) -> DataFrame:
+    """Zone of each pixel centre: the last polygon (``ord``) holding it, -1 for none.
+
+    Polygons are turned into runs of zones along the grid rows once; a pixel takes the last run that begins at or
+    before it in its row, from one sort by row and column. Polygons of any size and number need no bucket, no copy
+    of their rings and no test per pixel, and a row of pixels is the largest unit that one task must sort.
+    """
+    runs = zone_runs(zones, grid).select("row", "col", F.lit(0).alias("__k"), F.col("zone_id").alias("__z"))
+    fields = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__pixel")
+    pixels = df.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.lit(1).alias("__k"), fields)
+    w = W.partitionBy("row").orderBy("col", "__k").rowsBetween(W.unboundedPreceding, 0)
+    zone = F.coalesce(F.last("__z", ignorenulls=True).over(w), F.lit(NO_ZONE)).alias("zone_id")
+    placed = pixels.unionByName(runs, allowMissingColumns=True).select("__k", "__pixel", zone).filter("__k = 1")
+    return placed.select(*[F.col("__pixel")[c].alias(c) for c in df.columns if c != "zone_id"], "zone_id")
 
 
 def zonal_coverage(merged: DataFrame, pixels: DataFrame, zones: DataFrame) -> DataFrame:
@@ -100,20 +121,37 @@ def zonal_coverage(merged: DataFrame, pixels: DataFrame, zones: DataFrame) -> Da
     """
     total = pixels.filter(F.col("zone_id") != NO_ZONE).groupBy("zone_id").agg(F.count(F.lit(1)).alias("n_total"))
     code = F.col("source_code")
-    counts = small_side(
-        merged.groupBy("zone_id", "trait").agg(
-            F.count_if(code == AUX).alias("n_aux"), F.count_if(code == PRIMARY).alias("n_primary")
-        )
+    counts = merged.groupBy("zone_id", "trait").agg(
+        F.count_if(code == AUX).alias("n_aux"), F.count_if(code == PRIMARY).alias("n_primary")
     )
-    n_traits = counts.select("trait").distinct().count()
+    counts = cut(counts, "counts")
+    return _coverage_table(counts, total, zones, counts.select("trait").distinct().count())
+
+
+def zonal_coverage_wide(pixels: DataFrame, zones: DataFrame, traits: Sequence[str]) -> DataFrame:
+    """The same from one row per pixel: ``zone_id``, whether it is ``on_land``, and a source code column per trait.
+
+    No row is ever repeated per trait: a pixel is placed and counted once, and the traits unfold in the counts.
+    """
+    per_trait = [F.count_if(F.col(t) == code).alias(f"{t}__{code}") for t in traits for code in (AUX, PRIMARY)]
+    per_zone = pixels.groupBy("zone_id").agg(F.count_if("on_land").alias("n_total"), *per_trait)
+    per_zone = cut(per_zone, "counts")
+    rows = [F.struct(F.lit(t).alias("trait"), F.col(f"{t}__{AUX}").alias("n_aux"), F.col(f"{t}__{PRIMARY}").alias("n_primary")) for t in traits]
+    counts = per_zone.select("zone_id", F.inline(F.array(*rows)))
+    total = per_zone.filter((F.col("zone_id") != NO_ZONE) & (F.col("n_total") > 0)).select("zone_id", "n_total")
+    return _coverage_table(counts, total, zones, len(traits))
+
+
+def _coverage_table(counts: DataFrame, total: DataFrame, zones: DataFrame, n_traits: int) -> DataFrame:
     valid = F.col("n_aux") + F.col("n_primary")
     sums = counts.filter((F.col("zone_id") != NO_ZONE) & (valid > 0)).groupBy("zone_id").agg(
         F.sum("n_aux").alias("aux"), F.sum("n_primary").alias("primary"),
         F.avg(F.try_divide("n_aux", valid)).alias("aux_share"),
         F.avg(F.try_divide("n_primary", valid)).alias("primary_share"),
     )
+    names = zones.groupBy("zone_id").agg(F.max_by("name", "ord").alias("name")) if "ord" in zones.columns else zones.select("zone_id", "name")
     per_zone = (
-        zones.select("zone_id", "name").join(total, "zone_id", "left").join(sums, "zone_id", "left")
+        names.join(total, "zone_id", "left").join(sums, "zone_id", "left")
         .na.fill(0, ["n_total", "aux", "primary"])
         .select(
             F.when(F.col("name") == "N/A", 1).otherwise(0).alias("section"), "zone_id", "name", "n_total",

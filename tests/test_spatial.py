@@ -248,14 +248,65 @@ def inside(x, y, ring):
     return hit
 
 
-def test_zones_equal_brute_force(spark):
-    rings = [[(5e3, 5e3), (2.2e5, 4e4), (1.1e5, 2.9e5)], [(8e4, 8e4), (2.3e5, 9e4), (2.0e5, 2.6e5), (1.2e5, 1.3e5), (6e4, 2.4e5)]]
-    z = spark.createDataFrame([(10 + i, i, "AB"[i], [tuple(map(float, p)) for p in r]) for i, r in enumerate(rings)], "zone_id int, ord int, name string, ring array<struct<x:double,y:double>>")
-    _rows, df = pixels(spark, 2, 1.0)
-    for r in zones.pixel_to_zone(df, z, GRID, buckets=5).collect():
+ZONES = "zone_id int, ord int, name string, ring array<struct<x:double,y:double>>"
+
+
+def zone_rings():
+    star = [(1.2e5 + (9e4 if i % 2 else 3e4) * math.cos(i / 2000 * math.tau), 1.5e5 + (9e4 if i % 2 else 3e4) * math.sin(i / 2000 * math.tau)) for i in range(2000)]
+    concave = [(8e4, 8e4), (2.3e5, 9e4), (2.0e5, 2.6e5), (1.2e5, 1.3e5), (6e4, 2.4e5)]
+    return [
+        # zone, order, ring: a hole and an island in it are more rings of one polygon
+        (10, 0, [(5e3, 5e3), (2.2e5, 4e4), (1.1e5, 2.9e5)]),
+        (11, 1, concave),
+        (11, 1, [(1.0e5, 1.0e5), (1.0e5, 1.25e5), (1.4e5, 1.25e5), (1.4e5, 1.0e5)]),
+        (11, 1, [(1.1e5, 1.05e5), (1.1e5, 1.15e5), (1.25e5, 1.15e5), (1.25e5, 1.05e5)]),
+        (12, 2, [(-5e5, 2.7e5), (9e5, 2.7e5), (9e5, 9e5), (-5e5, 9e5)]),
+        # edges through pixel centres, and a closed ring
+        (13, 3, [(1.5e4, 1.5e4), (5.5e4, 1.5e4), (5.5e4, 5.5e4), (1.5e4, 5.5e4), (1.5e4, 1.5e4)]),
+        (14, -1, star),
+        (15, 9, [(2.9e5, 1e5), (3.5e5, 1e5), (3.5e5, 2e5)]),
+        (16, 9, []),
+    ]
+
+
+@pytest.mark.parametrize("stripe", [1, 16])
+def test_zones_equal_brute_force(spark, stripe, monkeypatch):
+    monkeypatch.setattr(zones.zone_runs, "__defaults__", (stripe,))
+    rings = zone_rings()
+    z = spark.createDataFrame([(i, o, "n", [tuple(map(float, p)) for p in r]) for i, o, r in rings], ZONES)
+    rows, df = pixels(spark, 2, 1.0)
+    # repeated pixels, a column called like the result, one without a place
+    df = df.unionByName(df.limit(50)).withColumn("zone_id", F.lit("old")).unionByName(spark.createDataFrame([(None, None, 0.0, "x")], "row int, col int, value double, zone_id string"))
+    got = zones.pixel_to_zone(df, z, GRID)
+    assert got.columns == ["row", "col", "value", "zone_id"]
+    found = got.collect()
+    assert len(found) == len(rows) + 51
+    polygons = {(o, i) for i, o, _ in rings}
+    seen = set()
+    for r in found:
+        if r.row is None:
+            assert r.zone_id == zones.NO_ZONE
+            continue
         x, y = 10_000 * (r.col + 0.5), 300_000 - 10_000 * (r.row + 0.5)
-        want = max([10 + i for i, ring in enumerate(rings) if inside(x, y, ring)], default=-1)
-        assert r.zone_id == want
+        hits = [p for p in polygons if sum(inside(x, y, ring) for i, o, ring in rings if (o, i) == p and ring) % 2]
+        assert r.zone_id == (max(hits)[1] if hits else -1), (r.row, r.col)
+        seen.add(r.zone_id)
+    assert seen == {-1, 10, 11, 12, 13, 14}
+    empty = zones.pixel_to_zone(df.drop("zone_id"), z.limit(0), GRID)
+    assert empty.filter(F.col("zone_id") == zones.NO_ZONE).count() == len(found)
+
+
+def test_wide_coverage_equals_long(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(-1, 3), rng.random() < 0.8, rng.choice([None, 0, 1, 2]), rng.choice([None, 1, 2])) for _ in range(400)]
+    px = spark.createDataFrame(rows, "zone_id int, on_land boolean, a int, b int")
+    z = spark.createDataFrame([(0, 0, "A"), (1, 1, "N/A"), (2, 2, "C"), (7, 3, "empty")], "zone_id int, ord int, name string")
+    long = px.unpivot(["zone_id"], ["a", "b"], "trait", "source_code").filter("source_code is not null")
+    want = zones.zonal_coverage(long, px.filter("on_land"), z).collect()
+    got = zones.zonal_coverage_wide(px, z, ["a", "b"]).collect()
+    key = lambda r: (r.section, r.name)
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert a.asDict() == pytest.approx(b.asDict(), nan_ok=True)
 
 
 def test_zonal_coverage_rules(spark):
