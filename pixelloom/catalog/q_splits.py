@@ -13,7 +13,7 @@ from pixelloom.sources import sinks
 BINS = 12
 FRACTIONS = (0.7, 0.15, 0.15)
 SEED = 67
-RESTARTS = 4
+RESTARTS = 500
 HEX_M = 150_000.0
 
 
@@ -168,7 +168,7 @@ _QUOTA = {
       FROM quota q JOIN strata s ON s.k = q.k + 1)))))""",
     "cand": """SELECT k, cell_id, CASE WHEN rn <= f0 THEN 0 WHEN rn <= f0 + f1 THEN 1 ELSE 2 END AS label FROM (
   SELECT r.k, c.cell_id, q.f0, q.f1, row_number() OVER (PARTITION BY r.k, c.parent_id ORDER BY md5('67:' || r.k || ':' || c.cell_id), c.cell_id) AS rn
-  FROM cells_t c, range(4) r(k), quota q WHERE q.parent_id = c.parent_id AND q.k > 0)""",
+  FROM cells_t c, range(500) r(k), quota q WHERE q.parent_id = c.parent_id AND q.k > 0)""",
 }
 
 
@@ -185,8 +185,7 @@ def _(t):
     edges = _edges(t)
     c = _cells(t)
     quotas = splits.stratum_quota(c, *_counts(c.count()))
-    labels = splits.candidate_labels(c, quotas, range(RESTARTS), SEED)
-    return rounded(hist.jsd_score(cut(_hist(t, edges)), labels, edges, ["restart"]))
+    return rounded(splits.restart_scores(cut(c), cut(quotas), cut(_hist(t, edges)), edges, RESTARTS, SEED))
 
 
 _BEST = "SELECT cell_id, label FROM labels_t WHERE k = (SELECT min_by(k, (jsd, k)) FROM jsd_t)"
@@ -201,7 +200,7 @@ def _(t):
 
 _RANDOM = {**_QUOTA, **_JSD, "labels_t": """SELECT k, cell_id, CASE WHEN rn <= w0 THEN 0 WHEN rn <= w0 + w1 THEN 1 ELSE 2 END AS label FROM (
   SELECT r.k, c.cell_id, row_number() OVER (PARTITION BY r.k ORDER BY md5('67:' || r.k || ':' || c.cell_id), c.cell_id) AS rn
-  FROM cells_t c, range(4) r(k)), want"""}
+  FROM cells_t c, range(500) r(k)), want"""}
 
 
 @query("I1_split_random", _BEST, _RANDOM)
@@ -221,8 +220,8 @@ def _(t):
 
 
 def _plan_cells(t):
-    """Fine cells of 4 x 4 pixels; validity comes from the order pixels."""
-    size, parent = (4, 4), (200, 20)
+    """50 x 50 fine cells in 5 x 5 parents; validity comes from the order pixels."""
+    size, parent = t.fine_block
     place = lambda df: cells.pixel_to_cell(df, t.grid, "square", size, parent)
     feats = place(t.primary).select("cell_id", "parent_id", F.col("trait").alias("feature"), F.col("mean").alias("value"))
     ids = ["cell_id", "parent_id"]
@@ -231,20 +230,21 @@ def _plan_cells(t):
 
 
 _PLAN = {
-    "p_cells": "SELECT DISTINCT (col // 4)::bigint * 16777216 + row // 4 AS cell_id, (col // 20)::bigint * 16777216 + row // 200 AS parent_id FROM prim",
-    "a_cells": """SELECT DISTINCT (col // 4)::bigint * 16777216 + row // 4 AS cell_id, (col // 20)::bigint * 16777216 + row // 200 AS parent_id
- FROM aux_t WHERE trait = 'X1' AND (col // 4)::bigint * 16777216 + row // 4 NOT IN (SELECT cell_id FROM p_cells)""",
-    "v_cells": """SELECT DISTINCT (col // 4)::bigint * 16777216 + row // 4 AS cell_id, (col // 20)::bigint * 16777216 + row // 200 AS parent_id
- FROM order_pixels WHERE (col // 4)::bigint * 16777216 + row // 4 NOT IN (SELECT cell_id FROM p_cells UNION ALL SELECT cell_id FROM a_cells)""",
+    "p_cells": "SELECT DISTINCT (col // ((w + 49) // 50))::bigint * 16777216 + row // ((h + 49) // 50) AS cell_id, (col // (10 * ((w + 49) // 50)))::bigint * 16777216 + row // (10 * ((h + 49) // 50)) AS parent_id FROM prim, dims",
+    "a_cells": """SELECT DISTINCT (col // ((w + 49) // 50))::bigint * 16777216 + row // ((h + 49) // 50) AS cell_id, (col // (10 * ((w + 49) // 50)))::bigint * 16777216 + row // (10 * ((h + 49) // 50)) AS parent_id
+ FROM aux_t, dims WHERE trait = 'X1' AND (col // ((w + 49) // 50))::bigint * 16777216 + row // ((h + 49) // 50) NOT IN (SELECT cell_id FROM p_cells)""",
+    "v_cells": """SELECT DISTINCT (col // ((w + 49) // 50))::bigint * 16777216 + row // ((h + 49) // 50) AS cell_id, (col // (10 * ((w + 49) // 50)))::bigint * 16777216 + row // (10 * ((h + 49) // 50)) AS parent_id
+ FROM order_pixels, dims WHERE (col // ((w + 49) // 50))::bigint * 16777216 + row // ((h + 49) // 50) NOT IN (SELECT cell_id FROM p_cells UNION ALL SELECT cell_id FROM a_cells)""",
     "cells_t": "SELECT cell_id, parent_id FROM p_cells",
     "aux_n": "SELECT round_even(0.7::double / (0.7::double + 0.15::double) * count(*), 0)::bigint AS a_train, count(*) AS n FROM a_cells",
     "want": """SELECT round_even(0.7::double * (p + n), 0)::bigint - a_train AS w0, round_even(0.15::double * (p + n), 0)::bigint - (n - a_train) AS w1, p AS total,
   p - (round_even(0.7::double * (p + n), 0)::bigint - a_train) - (round_even(0.15::double * (p + n), 0)::bigint - (n - a_train)) AS w2
   FROM (SELECT count(*) AS p FROM p_cells), aux_n""",
-    "strata": _QUOTA["strata"], "quota": _QUOTA["quota"],
-    "cand": _QUOTA["cand"].replace("range(4)", "range(1)"),
+    "strata": _QUOTA["strata"], "quota": _QUOTA["quota"], "cand": _QUOTA["cand"],
+    "features": "SELECT (col // ((w + 49) // 50))::bigint * 16777216 + row // ((h + 49) // 50) AS cell_id, trait AS feature, mean AS value FROM prim, dims",
+    "labels_t": "SELECT k, cell_id, label FROM cand", **_JSD,
     "plan_t": """SELECT p.cell_id, p.parent_id, 'primary' AS data_source, CASE label WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split
-  FROM p_cells p JOIN cand c ON c.cell_id = p.cell_id
+  FROM p_cells p JOIN cand c ON c.cell_id = p.cell_id WHERE c.k = (SELECT min_by(k, (jsd, k)) FROM jsd_t)
  UNION ALL SELECT cell_id, parent_id, 'aux', CASE WHEN row_number() OVER (ORDER BY md5('67-aux:' || cell_id), cell_id) <= (SELECT a_train FROM aux_n) THEN 'train' ELSE 'val' END FROM a_cells
  UNION ALL SELECT cell_id, parent_id, 'none', 'none' FROM v_cells""",
 }
@@ -254,7 +254,7 @@ def _plan(t, decluster=False):
     feats, p, a, v = _plan_cells(t)
     edges = small_side(hist.feature_edges(feats, BINS))
     return splits.split_plan(
-        cut(p), cut(a), v, hist.cell_histogram(feats, edges), edges, FRACTIONS, restarts=1, seed=SEED,
+        cut(p), cut(a), v, hist.cell_histogram(feats, edges), edges, FRACTIONS, restarts=RESTARTS, seed=SEED,
         decluster=decluster, kind="square", k=2, max_rounds=1,
     )
 

@@ -106,6 +106,12 @@ class Tables:
         h, w = (self.grid.height + 19) // 20, (self.grid.width + 19) // 20
         return (h, w), (5 * h, 5 * w)
 
+    @property
+    def fine_block(self) -> tuple[tuple[int, int], tuple[int, int]]:
+        """Cell and parent size in pixels: 50 x 50 cells and 5 x 5 parents over the grid."""
+        h, w = (self.grid.height + 49) // 50, (self.grid.width + 49) // 50
+        return (h, w), (10 * h, 10 * w)
+
     @cached_property
     def cell_target(self) -> DataFrame:
         """Target bands with square cells."""

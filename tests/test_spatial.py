@@ -84,15 +84,34 @@ def test_edges_skip_constant_and_fix_categorical(spark):
     assert h == {("c", 0): 1, ("c", 1): 1, ("v", 0): 1, ("v", 2): 1}
 
 
-def test_apportion_keeps_totals():
-    rng = random.Random(2)
-    for _ in range(200):
-        sizes = [rng.randint(1, 40) for _ in range(rng.randint(1, 12))]
-        n = sum(sizes)
-        train, val = round(0.7 * n), round(0.15 * n)
-        got = splits.apportion(sizes, (train, val, n - train - val))
-        assert [sum(t) for t in got] == sizes
-        assert tuple(map(sum, zip(*got))) == (train, val, n - train - val)
+def plain_quotas(sizes, wanted):
+    left, out = list(wanted), []
+    for i, n in enumerate(sizes):
+        take = [max(round(w / sum(sizes[i:]) * n), 0) for w in left[:2]]
+        take = [*take, max(n - sum(take), 0)]
+        take[take.index(max(take))] += n - sum(take)
+        if n >= 3 and not take[2] and left[2] > 0:
+            take = [take[0] - 1, take[1], 1]
+        if i == len(sizes) - 1:
+            take = left
+        left = [a - b for a, b in zip(left, take)]
+        out.append(tuple(take))
+    return out
+
+
+@pytest.mark.parametrize("strata", [1, 7, 3000])
+def test_quotas_keep_totals(spark, strata):
+    rng = random.Random(strata)
+    sizes = [rng.randint(1, 40) for _ in range(strata)]
+    rows = [(k * 1000 + j, -5 * k) for k, n in enumerate(reversed(sizes)) for j in range(n)]
+    n = sum(sizes)
+    train, val = round(0.7 * n), round(0.15 * n)
+    cells_ = spark.createDataFrame(rows, "cell_id bigint, parent_id bigint").repartition(6)
+    got = {r.parent_id: tuple(r)[1:] for r in splits.stratum_quota(cells_, train, val, n - train - val).collect()}
+    assert [got[k] for k in sorted(got)] == plain_quotas(sizes, (train, val, n - train - val))
+    assert [sum(got[k]) for k in sorted(got)] == sizes and tuple(map(sum, zip(*got.values()))) == (train, val, n - train - val)
+    with pytest.raises(ValueError):
+        splits.stratum_quota(cells_, train, val, n)
 
 
 def test_stratified_split_counts_and_best_restart(spark):
@@ -101,8 +120,11 @@ def test_stratified_split_counts_and_best_restart(spark):
     got = {r.label: r["count"] for r in labels.groupBy("label").count().collect()}
     assert got == {0: 57, 1: 12, 2: 12}
     quotas = splits.stratum_quota(c, 57, 12, 12)
-    every = splits.restart_scores(c, quotas, h, edges, 6, 3, batch=2)
-    assert len(every) == 6 and score == pytest.approx(min(s for s, _ in every))
+    every = {r.restart: r.jsd for r in splits.restart_scores(c, quotas, h, edges, 6, 3, batch=4).collect()}
+    assert sorted(every) == list(range(6)) and score == pytest.approx(min(every.values()))
+    for k in every:
+        one = splits.candidate_labels(c, quotas, [k], 3)
+        assert hist.jsd_score(h, one, edges).first().jsd == pytest.approx(every[k], abs=1e-12)
     assert hist.jsd_score(h, labels, edges).first().jsd == pytest.approx(score)
 
 
