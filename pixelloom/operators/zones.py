@@ -1,4 +1,4 @@
-"""Polygon zones, zonal coverage, nearest gap filling and connected components."""
+"""Polygon zones and zonal coverage."""
 
 from __future__ import annotations
 
@@ -10,9 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pixelloom.functions.missing import finite
 from pixelloom.grid import GridSpec
-from pixelloom.operators.ranking import exact_quantiles
 from pixelloom.session import cut
 
 NO_ZONE = -1
@@ -173,160 +171,3 @@ def _coverage_table(counts: DataFrame, total: DataFrame, zones: DataFrame, n_tra
 def zone_order(coverage: DataFrame) -> DataFrame:
     """Named zones by size, then N/A, then the total."""
     return coverage.orderBy("section", F.desc("n_total"), "name")
-
-
-def _vertical_reach(observed: DataFrame, by: Sequence[str], radius: int, height: int) -> DataFrame:
-    """For every pixel within ``radius`` rows of an observation in its column: the nearest one's row.
-
-    Each observation owns the rows up to the midpoint to its neighbours (the upper one on ties), so
-    the exploded intervals do not overlap and the result never exceeds the grid.
-    """
-    w = W.partitionBy(*by, "col").orderBy("row")
-    prev, nxt = F.lag("row").over(w), F.lead("row").over(w)
-    row = F.col("row")
-    lo = F.greatest(row - radius, F.lit(0), F.coalesce(F.floor((prev + row) / 2) + 1, F.lit(0)))
-    hi = F.least(row + radius, F.lit(height - 1), F.coalesce(F.floor((row + nxt) / 2), F.lit(height - 1)))
-    return observed.withColumns({"lo": lo.cast("int"), "hi": hi.cast("int")}).select(
-        *by, F.col("col").alias("ncol"), F.col("row").alias("nrow"), "value",
-        F.explode(F.sequence("lo", "hi")).alias("row"),
-    )
-
-
-def gap_fill_nearest(
-    df: DataFrame, land: DataFrame, grid: GridSpec, max_km: float | None = 250.0, by: Sequence[str] = (),
-    rings: Sequence[int] = (4, 16, 64, 256, 1024),
-) -> tuple[DataFrame, DataFrame]:
-    """Fill missing land pixels from the nearest observed one within ``max_km``; ties by row, then column.
-
-    Two one-dimensional passes instead of all pairs in a disk: first the nearest observation in every
-    column, then for each gap the best of the 2r+1 columns around it (an equi-join on pixel keys,
-    evenly spread). Radii grow, and each round handles only gaps the smaller ones left, so most
-    pixels meet a handful of columns. ``df`` needs ``row, col, value`` (+ ``by``), ``land`` pixels
-    ``row, col`` (+ ``by``). Returns the land pixels with ``value`` and ``imputed``, and the counts.
-    """
-    by = list(by)
-    pixel_m = (abs(grid.a) + abs(grid.e)) / 2
-    reach = int(max_km * 1000 // pixel_m) if max_km is not None else max(grid.height, grid.width)
-    limit2 = (max_km * 1000 / pixel_m) ** 2 if max_km is not None else float(reach) ** 2 * 2
-    pix = [*by, "row", "col"]
-    on_land = cut(land.select(*pix).distinct(), "land")
-    observed = df.select(*pix, finite(F.col("value")).alias("value")).filter("value is not null")
-    observed = cut(observed.join(on_land, pix, "left_semi"), "observed")
-    gaps = cut(on_land.join(observed, pix, "left_anti"), "gaps")
-    radii = [r for r in rings if r < reach] + ([reach] if reach > 0 else [])
-    filled: list[DataFrame] = []
-    for r in radii:
-        columns = _vertical_reach(observed, by, r, grid.height)
-        offsets = F.sequence(
-            F.greatest(F.col("col") - r, F.lit(0)), F.least(F.col("col") + r, F.lit(grid.width - 1))
-        )
-        tries = gaps.withColumn("ncol", F.explode(offsets)).join(columns, [*by, "row", "ncol"])
-        d2 = (F.col("row") - F.col("nrow")) * (F.col("row") - F.col("nrow")) + (
-            F.col("col") - F.col("ncol")
-        ) * (F.col("col") - F.col("ncol"))
-        within = F.col("d2") <= F.lit(limit2 if r == radii[-1] else float(r) ** 2)
-        best = (
-            tries.withColumn("d2", d2).filter(within).groupBy(*pix)
-            .agg(F.min_by("value", F.struct("d2", "nrow", "ncol")).alias("value"))
-        )
-        best = cut(best, f"ring{r}")
-        filled.append(best)
-        if r != radii[-1]:
-            gaps = cut(gaps.join(best, pix, "left_anti"), "gaps")
-            if not gaps.limit(1).collect():
-                break
-    result = observed.withColumn("imputed", F.lit(False))
-    for part in filled:
-        result = result.unionByName(part.withColumn("imputed", F.lit(True)))
-    out = on_land.join(result, pix, "left").withColumn("imputed", F.coalesce("imputed", F.lit(False)))
-    report = out.agg(
-        F.count_if("imputed").alias("n_imputed"),
-        F.count_if(F.col("value").isNotNull() & ~F.col("imputed")).alias("n_observed"),
-        F.count(F.lit(1)).alias("n_land"),
-    )
-    return out, report
-
-
-def _runs(df: DataFrame, label: str, width: int) -> DataFrame:
-    """Join vertically adjacent pixels of equal label: ``row, col, <label>, run`` (smallest pixel id)."""
-    w = W.partitionBy("col").orderBy("row")
-    new = (F.lag("row").over(w) != F.col("row") - 1) | (F.lag(label).over(w) != F.col(label))
-    head = F.when(F.coalesce(new, F.lit(True)), F.col("row"))
-    top = F.last(head, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    return df.select("row", "col", label, (top.cast("bigint") * width + F.col("col")).alias("run"))
-
-
-def components(df: DataFrame, label: str, grid: GridSpec, max_rounds: int = 50) -> DataFrame:
-    """4-connected components of equal label: adds ``component`` (smallest run id in it).
-
-    Vertical runs are found by one window per grid column (bounded by the grid height), which leaves
-    one node per run. Nodes then hook onto the smallest neighbouring root and roots are shortened
-    until nothing changes: a logarithmic number of rounds on real maps. Updates are minima, combined
-    map-side; the pointer lookup, whose key may be one giant component, is salted. Each round is
-    written to the shared folder.
-    """
-    runs = cut(_runs(df, label, grid.width), "runs")
-    right = runs.select("row", (F.col("col") - 1).alias("col"), F.col(label).alias("__l"), F.col("run").alias("run2"))
-    pairs = (
-        runs.join(right, ["row", "col"]).filter(F.col(label) == F.col("__l"))
-        .select(F.col("run").alias("u"), F.col("run2").alias("v")).distinct()
-    )
-    edges = cut(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
-    nodes = runs.select(F.col("run").alias("u")).distinct()
-    parent = cut(nodes.select("u", F.col("u").alias("f")), "parent")
-    for _ in range(max_rounds):
-        grand = _grandparents(parent)
-        grand = cut(grand, "grand")
-        seen = (
-            edges.join(grand.select(F.col("u").alias("v"), F.col("g").alias("gv")), "v")
-            .groupBy("u").agg(F.min("gv").alias("m"))
-            .join(grand, "u")
-        )
-        proposals = (
-            seen.select(F.col("f").alias("u"), F.col("m").alias("p"))
-            .unionByName(seen.select("u", F.col("m").alias("p")))
-            .unionByName(grand.select("u", F.col("g").alias("p")))
-            .groupBy("u").agg(F.min("p").alias("p"))
-        )
-        step = parent.join(proposals, "u", "left").select(
-            "u", F.least("f", F.coalesce("p", "f")).alias("f"), F.col("f").alias("old")
-        )
-        step = cut(step, "parent")
-        parent = step.select("u", "f")
-        if not step.filter(F.col("f") != F.col("old")).limit(1).collect():
-            break
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
-    return runs.join(parent.select(F.col("u").alias("run"), F.col("f").alias("component")), "run").drop("run")
-
-
-def _grandparents(parent: DataFrame, salts: int = 16) -> DataFrame:
-    """``u, f, g`` with g = parent of f. Many nodes may share one f, so the lookup is salted."""
-    salted = parent.withColumn("s", F.pmod(F.xxhash64("u"), F.lit(salts)).cast("int"))
-    lookup = parent.select(
-        F.col("u").alias("f"), F.col("f").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s")
-    )
-    heads = parent.select("f").distinct()
-    return salted.join(lookup.join(heads, "f", "left_semi"), ["f", "s"]).select("u", "f", "g")
-
-
-def component_sizes(parts: DataFrame, label: str, pixel_km2: float) -> DataFrame:
-    """Per label: number of components and their size in pixels and km2, with the mean's diameter."""
-    sizes = parts.groupBy(label, "component").agg(F.count(F.lit(1)).alias("px"))
-    sizes = cut(sizes, "sizes")
-    stats = exact_quantiles(
-        sizes, [label], "px", {"median_px": 0.5},
-        [
-            F.count(F.lit(1)).alias("n_components"), F.sum("px").alias("n_pixels"), F.min("px").alias("min_px"),
-            F.max("px").alias("max_px"), F.avg("px").alias("mean_px"),
-        ],
-    )
-    km2 = F.lit(float(pixel_km2))
-    return stats.withColumns(
-        {
-            "min_km2": F.col("min_px") * km2, "max_km2": F.col("max_px") * km2,
-            "mean_km2": F.col("mean_px") * km2, "median_km2": F.col("median_px") * km2,
-            "total_km2": F.col("n_pixels") * km2,
-            "diameter_km": F.sqrt(F.col("mean_px") * km2 / F.pi()) * 2,
-        }
-    )

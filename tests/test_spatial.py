@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelloom import GridSpec
-from pixelloom.operators import cells, chips, hist, masks, quality, resample, sampling, splits, transforms, zones
+from pixelloom.operators import cells, chips, components, gapfill, hist, masks, quality, resample, sampling, splits, transforms, zones
 from pixelloom.session import cut
 
 GRID = GridSpec("EPSG:6933", 10_000.0, 0.0, -10_000.0, 300_000.0, 30, 24)
@@ -201,13 +201,27 @@ def test_mosaic_of_a_constant_is_the_constant(spark):
     assert [x[0] for x in w] == [1.0, 256.0, 1.0]
 
 
-@pytest.mark.parametrize("max_km", [45.0, None])
-def test_gap_fill_equals_brute_force(spark, max_km):
+@pytest.mark.parametrize("seed", range(4))
+def test_envelope_is_the_least_parabola(seed):
+    rng = np.random.default_rng(seed)
+    cost = rng.integers(0, 5, (40, 33)) ** 2 * 10_000 + np.arange(33)
+    cost[rng.random(cost.shape) < (0.1, 0.6, 0.95, 1.0)[seed]] = -1
+    got = gapfill.nearest_in_rows(cost, 10_000)
+    for r in range(40):
+        for c in range(33):
+            known = [(10_000 * (c - j) ** 2 + cost[r, j], j) for j in range(33) if cost[r, j] >= 0]
+            assert got[r, c] == (min(known)[1] if known else -1)
+
+
+@pytest.mark.parametrize("max_km, cols, area", [(45.0, 128, 1 << 18), (45.0, 5, 60), (25.0, 3, 1), (None, 7, 500)])
+def test_gap_fill_equals_brute_force(spark, max_km, cols, area, monkeypatch):
+    monkeypatch.setattr(gapfill, "BLOCK_COLS", cols)
+    monkeypatch.setattr(gapfill, "BLOCK_PIXELS", area)
     seen_rows, seen = pixels(spark, 8, 0.06)
     land_rows, land = pixels(spark, 9, 0.7)
     on_land = {(r, c) for r, c, _ in land_rows}
     known = {(r, c): v for r, c, v in seen_rows if (r, c) in on_land}
-    out, report = zones.gap_fill_nearest(seen, land, GRID, max_km, rings=(1, 3))
+    out, report = gapfill.gap_fill_nearest(seen, land, GRID, max_km)
     got = {(x.row, x.col): (x.value, x.imputed) for x in out.collect()}
     assert set(got) == on_land
     n_imputed = 0
@@ -226,10 +240,21 @@ def test_gap_fill_equals_brute_force(spark, max_km):
 def test_gap_fill_without_observations(spark):
     _rows, land = pixels(spark, 9, 0.5)
     none = spark.createDataFrame([], "row int, col int, value double")
-    out, report = zones.gap_fill_nearest(none, land, GRID)
+    out, report = gapfill.gap_fill_nearest(none, land, GRID)
     assert out.filter("value is not null").count() == 0 and report.first().n_imputed == 0
 
 
+def test_gap_fill_keeps_traits_apart(spark):
+    land = spark.createDataFrame([(t, 0, c) for t in ("a", "b", None) for c in range(6)], "trait string, row int, col int")
+    seen = spark.createDataFrame([("a", 0, 1, 1.0), ("a", 0, 4, 2.0), ("b", 0, 5, 3.0), ("b", 0, 0, float("nan")), ("c", 0, 0, 9.0), (None, 0, 2, 4.0)], "trait string, row int, col int, value double")
+    out, report = gapfill.gap_fill_nearest(seen, land, GRID, 15.0, ["trait"])
+    got = {(r.trait, r.col): (r.value, r.imputed) for r in out.collect()}
+    assert [got[("a", c)][0] for c in range(6)] == [1.0, 1.0, 1.0, 2.0, 2.0, 2.0]
+    assert [got[("b", c)][0] for c in range(6)] == [None, None, None, None, 3.0, 3.0] and got[("b", 4)][1] and not got[("b", 5)][1]
+    assert [got[(None, c)][0] for c in range(6)] == [None, 4.0, 4.0, 4.0, None, None]
+    assert {r.trait: tuple(r)[1:] for r in report.collect()} == {"a": (4, 2, 6), "b": (1, 1, 6), None: (2, 1, 6)}
+
+
 def flood(labels):
     seen, parts = {}, 0
     for start in labels:
@@ -246,20 +271,36 @@ def flood(labels):
     return seen
 
 
-def test_components_equal_flood_fill(spark):
+@pytest.mark.parametrize("tile, fan", [(3, 2), (4, 16), (256, 16)])
+def test_components_equal_flood_fill(spark, tile, fan, monkeypatch):
+    monkeypatch.setattr(components, "TILE", tile)
+    monkeypatch.setattr(components, "FAN", fan)
     rng = random.Random(12)
-    labels = {(r, c): rng.randint(0, 1) for r in range(30) for c in range(24) if rng.random() < 0.8}
-    # a long snake, one component over the whole map
-    labels.update({(r, c): 7 for r in range(0, 30, 2) for c in range(24)})
-    labels.update({(r, 23 if (r // 2) % 2 == 0 else 0): 7 for r in range(1, 29, 2)})
-    df = spark.createDataFrame([(r, c, v) for (r, c), v in labels.items()], "row int, col int, fold int")
-    got = {(x.row, x.col): x.component for x in zones.components(df, "fold", GRID).collect()}
-    want = flood(labels)
-    pair = {(got[k], want[k]) for k in want}
-    assert len(got) == len(want)
-    assert len(pair) == len({a for a, _ in pair}) == len({b for _, b in pair})
-    sizes = {x.fold: x for x in zones.component_sizes(spark.createDataFrame([(r, c, labels[(r, c)], v) for (r, c), v in got.items()], "row int, col int, fold int, component bigint"), "fold", 2.0).collect()}
-    assert sizes[7].n_components == 1 and sizes[7].max_km2 == 2.0 * sizes[7].n_pixels
+    maps = {}
+    for kind in ("a", "b", None):
+        labels = {(r, c): rng.choice(["x", "y"]) for r in range(30) for c in range(24) if rng.random() < 0.8}
+        if kind == "a":
+            # a long snake, one component over the whole map
+            labels.update({(r, c): "snake" for r in range(0, 30, 2) for c in range(24)})
+            labels.update({(r, 23 if (r // 2) % 2 == 0 else 0): "snake" for r in range(1, 29, 2)})
+        if kind == "b":
+            labels.update({(r, c): None for r in range(5) for c in range(4)})
+        maps[kind] = labels
+    rows = [(k, r, c, v, "kept") for k, m in maps.items() for (r, c), v in m.items()]
+    df = spark.createDataFrame(rows, "trait string, row int, col int, fold string, note string").repartition(7)
+    parts = cut(components.components(df, "fold", GRID, ["trait"]))
+    assert parts.columns == ["trait", "row", "col", "fold", "note", "component"] and parts.count() == len(rows)
+    got = {(x.trait, x.row, x.col): x.component for x in parts.collect()}
+    for kind, labels in maps.items():
+        want = flood({k: v if v is not None else k for k, v in labels.items()})
+        least = {}
+        for (r, c), group in want.items():
+            least[group] = min(least.get(group, 10**9), r * GRID.width + c)
+        assert all(got[(kind, *k)] == least[g] for k, g in want.items())
+    sizes = {(x.trait, x.fold): x for x in components.component_sizes(parts, "fold", 2.0, ["trait"]).collect()}
+    snake = sizes[("a", "snake")]
+    assert snake.n_components == 1 and snake.max_km2 == 2.0 * snake.n_pixels
+    assert components.components(df.limit(0), "fold", GRID, ["trait"]).count() == 0
 
 
 def inside(x, y, ring):
