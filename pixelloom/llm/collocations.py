@@ -43,6 +43,8 @@ TOP = 2000
 #: Suffixes a group may hold, about 150 MB in a worker.
 BUDGET = 2 << 20
 HEAVY_PARTS = 1 << 14
+#: Parts of a language whose best phrases are found apart.
+PARTS = 64
 #: A word and its separator take about so many bytes; it only sets how many groups there are.
 WORD_BYTES = 5
 
@@ -275,11 +277,17 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, budget: in
     parts = cuts.join(phrases.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l")), ["lang", "head"]).join(
         phrases.select("lang", F.col("phrase").alias("tail"), F.col("f").alias("r")), ["lang", "tail"]
     )
-    whole = table.where("size = 0").select("lang", F.col("f").alias("n"))
+    # a table of its own, so that its size is known when the join is planned
+    whole = cut(table.where("size = 0").select("lang", F.col("f").alias("n")), "languages")
     wide = "decimal(38,0)"
     score = F.expr(f"(1000 * cast(a as {wide}) * n) div (cast(l as {wide}) * r)")
     scored = parts.join(whole, "lang").withColumn("score", score.cast("long"))
     best = scored.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("best"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = best.select("lang", "phrase", "a", "best.l", "best.r", "n", "best.score").withColumn("rank", F.row_number().over(order))
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    # the best of each part of a language first, so that a language of most phrases does not meet in one task
+    part = F.pmod(F.hash("phrase"), F.lit(PARTS))
+    first = F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))
+    found = best.select("lang", "phrase", "a", "best.l", "best.r", "n", "best.score", part.alias("part"))
+    found = found.withColumn("rank", first).where(F.col("rank") <= top)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     return ranked.where(F.col("rank") <= top).select("lang", F.col("rank").cast("long"), "phrase", "a", "l", "r", "n", "score")
