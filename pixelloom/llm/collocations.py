@@ -40,8 +40,8 @@ from pixelloom.session import cut
 LONGEST = 5
 LEAST = 100
 TOP = 2000
-#: Suffixes a group may hold, about 150 MB in a worker.
-BUDGET = 2 << 20
+#: Suffixes a group may hold, about 80 MB in a worker.
+BUDGET = 1 << 20
 HEAVY_PARTS = 1 << 14
 #: Parts of a language whose best phrases are found apart.
 PARTS = 64
