@@ -8,8 +8,6 @@ from pixelloom.catalog.registry import query, rounded
 from pixelloom.catalog.tables import TRAITS
 from pixelloom.operators import merge, quality, sampling
 
-MERGE_BANDS = ["mean", "std", "count"]
-
 
 @query("A1_band_stats", """
 SELECT row, col, source, trait, round(avg(v), 8) AS mean, round(stddev_pop(v), 8) AS std,
@@ -54,7 +52,7 @@ FROM merged GROUP BY trait"""}
 
 @query("A12_merge_summary", "SELECT * FROM summary", _SUMMARY)
 def _(t):
-    return merge.merge_summary(t.aux, t.primary, t.grid, MERGE_BANDS)
+    return merge.merge_summary(t.merged_bands, t.grid)
 
 
 @query("A13_merge_summary_total", """
@@ -63,7 +61,7 @@ SELECT count(*) AS n_traits, count(*) FILTER (has_aux) AS n_traits_aux,
        round(avg(n_aux_only), 6) AS mean_aux_only, round(avg(n_both), 6) AS mean_both,
        round(avg(pct_primary), 6) AS mean_pct_primary FROM summary""", _SUMMARY)
 def _(t):
-    return rounded(merge.merge_summary_total(merge.merge_summary(t.aux, t.primary, t.grid, MERGE_BANDS)))
+    return rounded(merge.merge_summary_total(merge.merge_summary(t.merged_bands, t.grid)))
 
 
 @query("A14_best_source_map", """
@@ -117,7 +115,7 @@ def _(t):
 
 @query("J14_source_pairs", "SELECT row, col, trait, round(y, 8) AS y, round(p, 8) AS p FROM pairs")
 def _(t):
-    return rounded(merge.source_pairs(t.aux, t.primary), 8)
+    return rounded(merge.source_pairs(t.two_sides), 8)
 
 
 @query("T1_top_overlap", """

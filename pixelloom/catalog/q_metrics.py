@@ -43,16 +43,9 @@ def _(t):
     return rounded(metrics.trait_metrics(t.coded_pairs, valid=F.col("source_code") == 2))
 
 
-@query("P1_finite_pairs", """
-SELECT coalesce(a.row, b.row) AS row, coalesce(a.col, b.col) AS col, coalesce(a.trait, b.trait) AS trait,
-       round(a.mean, 8) AS y, round(b.mean, 8) AS p
-FROM prim a JOIN aux_t b ON a.row = b.row AND a.col = b.col AND a.trait = b.trait
-WHERE a.mean IS NOT NULL AND b.mean IS NOT NULL""")
+@query("P1_finite_pairs", "SELECT row, col, trait, round(y, 8) AS y, round(p, 8) AS p FROM pairs")
 def _(t):
-    keys = ["row", "col", "trait"]
-    both = t.primary.select(*keys, F.col("mean").alias("y")).join(
-        t.aux.select(*keys, F.col("mean").alias("p")), keys, "full_outer"
-    )
+    both = t.two_sides.select("row", "col", "trait", F.col("s.mean").alias("y"), F.col("g.mean").alias("p"))
     return rounded(metrics.finite_pairs(both), 8)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pixelloom.grid import GridSpec
 from pixelloom.operators.cells import pixel_to_cell
 from pixelloom.operators.chips import assign_chips, pixel_to_chip
-from pixelloom.operators.merge import band_moments, merge_priority, merge_priority_per_band, paired_means
+from pixelloom.operators.merge import band_moments, both_sources, by_band, by_priority, paired_means
 from pixelloom.session import small_side
 
 TRAITS = ["X1", "X2", "X3", "X4"]
@@ -92,13 +92,18 @@ class Tables:
     def primary(self) -> DataFrame:
         return self.source("primary")
 
+    @cached_property
+    def two_sides(self) -> DataFrame:
+        """Bands of both sources per pixel and trait, from one scan."""
+        return both_sources(self.obs_wide, TRAITS)
+
     @cached_property
     def merged(self) -> DataFrame:
-        return merge_priority(self.aux, self.primary, ["mean", "std", "count"])
+        return by_priority(self.two_sides, ["mean", "std", "count"])
 
     @cached_property
     def merged_bands(self) -> DataFrame:
-        return merge_priority_per_band(self.aux, self.primary, ["mean", "std", "count"])
+        return by_band(self.two_sides, ["mean", "std", "count"])
 
     @property
     def block(self) -> tuple[tuple[int, int], tuple[int, int]]:
@@ -244,17 +249,16 @@ CTES: dict[str, str] = {
         FROM obs GROUP BY ALL""",
     "aux_t": "SELECT * EXCLUDE (source) FROM target WHERE source = 'aux'",
     "prim": "SELECT * EXCLUDE (source) FROM target WHERE source = 'primary'",
-    "merged": """SELECT coalesce(s.row, g.row) AS row, coalesce(s.col, g.col) AS col,
-        coalesce(s.trait, g.trait) AS trait, coalesce(s.mean, g.mean) AS mean,
-        coalesce(s.std, g.std) AS std, coalesce(s.count, g.count) AS count,
-        CASE WHEN s.mean IS NOT NULL THEN 2 WHEN g.mean IS NOT NULL THEN 1 END AS source_code,
-        g.mean IS NOT NULL AS in_aux, s.mean IS NOT NULL AS in_primary
-        FROM aux_t g FULL JOIN prim s ON s.row = g.row AND s.col = g.col AND s.trait = g.trait""",
-    "pairs": """SELECT s.row, s.col, s.trait, s.mean AS y, g.mean AS p FROM prim s
-        JOIN aux_t g ON s.row = g.row AND s.col = g.col AND s.trait = g.trait""",
-    "coded_pairs": """SELECT p.row, p.col, p.trait, p.y, p.p,
-        CASE WHEN s.count >= 2 THEN 2 ELSE 1 END AS source_code
-        FROM pairs p JOIN prim s ON s.row = p.row AND s.col = p.col AND s.trait = p.trait""",
+    "two_sides": """SELECT row, col, trait, avg(v) FILTER (source = 'primary') AS s_mean, stddev_pop(v) FILTER (source = 'primary') AS s_std,
+        nullif(count(v) FILTER (source = 'primary'), 0) AS s_count, avg(v) FILTER (source = 'aux') AS g_mean,
+        stddev_pop(v) FILTER (source = 'aux') AS g_std, nullif(count(v) FILTER (source = 'aux'), 0) AS g_count
+        FROM obs GROUP BY row, col, trait""",
+    "merged": """SELECT row, col, trait, coalesce(s_mean, g_mean) AS mean, coalesce(s_std, g_std) AS std,
+        coalesce(s_count, g_count) AS count, CASE WHEN s_mean IS NOT NULL THEN 2 WHEN g_mean IS NOT NULL THEN 1 END AS source_code,
+        g_mean IS NOT NULL AS in_aux, s_mean IS NOT NULL AS in_primary FROM two_sides""",
+    "pairs": "SELECT row, col, trait, s_mean AS y, g_mean AS p FROM two_sides WHERE s_mean IS NOT NULL AND g_mean IS NOT NULL",
+    "coded_pairs": """SELECT row, col, trait, s_mean AS y, g_mean AS p, CASE WHEN s_count >= 2 THEN 2 ELSE 1 END AS source_code
+        FROM two_sides WHERE s_mean IS NOT NULL AND g_mean IS NOT NULL""",
     "cell_target": """SELECT *, (col // ((w + 19) // 20)) * 16777216 + row // ((h + 19) // 20) AS cell_id,
         (col // (5 * ((w + 19) // 20))) * 16777216 + row // (5 * ((h + 19) // 20)) AS parent_id
         FROM target, dims""",

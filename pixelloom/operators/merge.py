@@ -97,16 +97,39 @@ def paired_means(obs: DataFrame, traits: Sequence[str], y: str = "y", p: str = "
     )
 
 
-def merge_priority(aux: DataFrame, primary: DataFrame, bands: Sequence[str] = BANDS) -> DataFrame:
-    """Primary replaces aux where its first band is valid; code NULL where no first band is valid.
+def both_sources(obs: DataFrame, traits: Sequence[str]) -> DataFrame:
+    """``row, col, trait`` with the mean, std and count bands of the auxiliary (``g``) and primary (``s``) source as structs.
 
-    (row, col, trait) is unique per side, so the join key cannot be hot.
+    Straight from wide observations: one scan and one conditional aggregation, one shuffled row per pixel and task
+    whatever the number of traits. A source without an observation is a NULL struct; traits unfold last.
     """
-    first = bands[0]
+    is_primary = F.col("source") == "primary"
+
+    def side(t: str, ours: Column) -> Column:
+        return F.struct(*_moment_columns(F.when(ours, F.col(t))))
+
+    wide = obs.groupBy("row", "col").agg(
+        *[F.struct(side(t, ~is_primary).alias("g"), side(t, is_primary).alias("s")).alias(t) for t in traits]
+    )
+    rows = F.array(*[F.struct(F.lit(t).alias("trait"), F.col(t)["g"].alias("g"), F.col(t)["s"].alias("s")) for t in traits])
+    long = wide.select("row", "col", F.inline(rows))
+    return long.filter((F.col("g.count") > 0) | (F.col("s.count") > 0)).select(
+        *KEY, *[F.when(F.col(f"{x}.count") > 0, F.col(x)).alias(x) for x in ("g", "s")]
+    )
+
+
+def join_sources(aux: DataFrame, primary: DataFrame, bands: Sequence[str] = BANDS) -> DataFrame:
+    """The same from two tables of bands; (row, col, trait) is unique per side, so the join key cannot be hot."""
     g = aux.select(*KEY, F.struct(*bands).alias("g"))
     s = primary.select(*KEY, F.struct(*bands).alias("s"))
+    return g.join(s, KEY, "full_outer")
+
+
+def by_priority(sides: DataFrame, bands: Sequence[str] = BANDS) -> DataFrame:
+    """Primary replaces aux where its first band is valid; code NULL where no first band is valid."""
+    first = bands[0]
     use_primary = F.col(f"s.{first}").isNotNull()
-    return g.join(s, KEY, "full_outer").select(
+    return sides.select(
         *KEY,
         *[F.when(use_primary, F.col(f"s.{b}")).otherwise(F.col(f"g.{b}")).alias(b) for b in bands],
         F.when(use_primary, PRIMARY)
@@ -116,20 +139,16 @@ def merge_priority(aux: DataFrame, primary: DataFrame, bands: Sequence[str] = BA
     )
 
 
-def merge_priority_per_band(
-    aux: DataFrame, primary: DataFrame, bands: Sequence[str] = BANDS
-) -> DataFrame:
+def by_band(sides: DataFrame, bands: Sequence[str] = BANDS) -> DataFrame:
     """Band-by-band merge; the code looks at any band and is 0 where nothing is valid.
 
     Also keeps ``in_aux`` and ``in_primary`` (any band valid), which the summaries count.
     """
-    g = aux.select(*KEY, F.struct(*bands).alias("g"))
-    s = primary.select(*KEY, F.struct(*bands).alias("s"))
 
     def any_band(side: str) -> Column:
         return reduce(lambda p, q: p | q, [F.col(f"{side}.{b}").isNotNull() for b in bands])
 
-    return g.join(s, KEY, "full_outer").select(
+    return sides.select(
         *KEY,
         *[F.coalesce(f"s.{b}", f"g.{b}").alias(b) for b in bands],
         F.when(any_band("s"), PRIMARY).when(any_band("g"), AUX).otherwise(NONE)
@@ -139,11 +158,18 @@ def merge_priority_per_band(
     )
 
 
-def merge_summary(
-    aux: DataFrame, primary: DataFrame, grid: GridSpec, bands: Sequence[str] = BANDS
-) -> DataFrame:
-    """Per trait: which sources exist, pixels by source, overlap, empty pixels and shares."""
-    merged = merge_priority_per_band(aux, primary, bands)
+def merge_priority(aux: DataFrame, primary: DataFrame, bands: Sequence[str] = BANDS) -> DataFrame:
+    """:func:`by_priority` of two tables."""
+    return by_priority(join_sources(aux, primary, bands), bands)
+
+
+def merge_priority_per_band(aux: DataFrame, primary: DataFrame, bands: Sequence[str] = BANDS) -> DataFrame:
+    """:func:`by_band` of two tables."""
+    return by_band(join_sources(aux, primary, bands), bands)
+
+
+def merge_summary(merged: DataFrame, grid: GridSpec) -> DataFrame:
+    """Per trait of a :func:`by_band` merge: which sources exist, pixels by source, overlap, empty pixels and shares."""
     code = F.col("source_code")
     counts = merged.groupBy("trait").agg(
         F.bool_or("in_aux").alias("has_aux"),
@@ -194,13 +220,11 @@ def best_source_counts(merged: DataFrame, grid: GridSpec) -> DataFrame:
     return counted.withColumn("n_no_data", cells - F.col("n_primary") - F.col("n_aux"))
 
 
-def source_pairs(
-    aux: DataFrame, primary: DataFrame, band: str = "mean", y: str = "y", p: str = "p"
-) -> DataFrame:
+def source_pairs(sides: DataFrame, band: str = "mean", y: str = "y", p: str = "p") -> DataFrame:
     """Pixels where both sources have the band: ``y`` from primary, ``p`` from aux."""
-    s = primary.filter(F.col(band).isNotNull()).select(*KEY, F.col(band).alias(y))
-    g = aux.filter(F.col(band).isNotNull()).select(*KEY, F.col(band).alias(p))
-    return s.join(g, KEY)
+    return sides.select(*KEY, F.col(f"s.{band}").alias(y), F.col(f"g.{band}").alias(p)).filter(
+        F.col(y).isNotNull() & F.col(p).isNotNull()
+    )
 
 
 def trait_union(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -196,7 +196,7 @@ def test_summary_invariant(spark):
     aux = spark.createDataFrame([(0, 0, "t", 1.0), (0, 1, "t", 1.0)], schema)
     primary = spark.createDataFrame([(0, 1, "t", 2.0), (1, 1, "u", 2.0)], schema)
     grid = GridSpec("c", 1.0, 0.0, -1.0, 4.0, 4, 5)
-    for r in merge.merge_summary(aux, primary, grid, ["mean"]).collect():
+    for r in merge.merge_summary(merge.merge_priority_per_band(aux, primary, ["mean"]), grid).collect():
         assert r.n_aux_only + r.n_primary == r.n_total and r.n_total + r.n_no_data == 20
 
 
@@ -226,3 +226,20 @@ def test_bad_arguments(spark):
         masks.predictor_validity(df, mode="most")
     with pytest.raises(ValueError):
         metrics.error_term(F.col("a"), F.col("b"), "l4")
+
+
+def test_both_sources_equal_the_join_of_two_tables(spark):
+    rows = [(r % 3, r % 5, "aux" if r % 4 else "primary", None if r % 7 == 0 else float(r), None if r < 30 else r / 2.0) for r in range(60)]
+    rows += [(9, 9, "aux", None, None), (None, 1, "primary", 1.0, 2.0)]
+    obs = spark.createDataFrame(rows, "row int, col int, source string, a double, b double")
+    sides = merge.both_sources(obs, ["a", "b"])
+    bands = ["mean", "std", "count"]
+    table = merge.band_moments(obs, ["a", "b"])
+    part = lambda s: table.filter(F.col("source") == s).drop("source")
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in merge.by_priority(sides, bands).collect()}
+    want = {tuple(r)[:3]: tuple(r)[3:] for r in merge.merge_priority(part("aux"), part("primary"), bands).collect()}
+    assert set(got) == set(want) and (9, 9, "a") not in got and (None, 1, "b") in got
+    for key, values in got.items():
+        assert values == pytest.approx(want[key])
+    pairs = {tuple(r)[:3] for r in merge.source_pairs(sides).collect()}
+    assert pairs == {k for k in got if table.filter((F.col("row") == k[0]) & (F.col("col") == k[1]) & (F.col("trait") == k[2])).count() == 2}
