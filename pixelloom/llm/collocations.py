@@ -4,10 +4,10 @@ Texts are cut into pieces and words; each word occurrence is a suffix of at most
 All occurrences of a phrase start suffixes that share it as a prefix, so a group of suffixes chosen by prefix holds every
 count of the phrases below that prefix, and groups can be worked on independently (vertical partitioning, as in ERA):
 
-1. *Prefixes.* A scan finds the prefixes that hold more than ``budget`` suffixes: each slice of texts reports the prefixes that
-   reach its share of half that number, so the sum of what slices keep to themselves is less than half and no such prefix is
-   missed. Above ``budget * HEAVY_PARTS`` suffixes the limit is 1/``HEAVY_PARTS`` of all, so at most 2 * ``HEAVY_PARTS``
-   prefixes a depth are sent to tasks, 0.5 MB at 16,384.
+1. *Prefixes.* A scan finds the prefixes that hold more than an eighth of ``budget`` suffixes: each slice of texts reports the
+   prefixes that reach its share of half that number, so the sum of what slices keep to themselves is less than half and no
+   such prefix is missed. The limit is never under 1/``HEAVY_PARTS`` of all suffixes, so at most 2 * ``HEAVY_PARTS``
+   prefixes a depth are sent to tasks, 0.25 MB at 16,384.
 2. *Groups.* A suffix goes to the group of its shortest prefix that is not too frequent, a hash of it modulo as many groups
    as the budget asks for. Equal suffixes of a slice travel once with their count, and a slice sends one packed block a group:
    its words once, and their numbers. Texts are shuffled in this form only, once.
@@ -43,6 +43,10 @@ TOP = 2000
 #: Suffixes a group may hold, about 80 MB in a worker.
 BUDGET = 1 << 20
 HEAVY_PARTS = 1 << 14
+#: A prefix of more than this part of a group's suffixes is divided, so that groups come out even.
+SHARE = 8
+#: Beyond as many groups, tasks take several in turn.
+MOST_TASKS = 1 << 15
 #: Parts of a language whose best phrases are found apart.
 PARTS = 64
 #: A word and its separator take about so many bytes; it only sets how many groups there are.
@@ -252,8 +256,10 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, budget: int = BUDGET)
     docs = docs.select("lang", "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     words = -(-total // WORD_BYTES)
-    heavy = heavy_prefixes(docs, max(total, 1), max(budget, words // HEAVY_PARTS))
-    blocks = suffix_blocks(docs, heavy, max(1, -(-words // budget)))
+    heavy = heavy_prefixes(docs, max(total, 1), max(budget // SHARE, words // HEAVY_PARTS))
+    groups = max(1, -(-words // budget))
+    # about a group a task, however many the session's shuffles have
+    blocks = suffix_blocks(docs, heavy, groups).repartition(min(groups, MOST_TASKS), "grp")
     counted = blocks.groupBy("grp").applyInArrow(lambda table: count_subtrees(table, least), PHRASES)
     summed = counted.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
     return cut(summed.where((F.col("f") >= least) | (F.col("size") == 0)), "phrases")
