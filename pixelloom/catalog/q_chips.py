@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pixelloom.catalog.q_metrics import _SCORES
 from pixelloom.catalog.registry import query, rounded
 from pixelloom.catalog.tables import PATCH, STRIDE
 from pixelloom.operators import chips, masks, metrics, quality, sampling, score
@@ -248,13 +249,22 @@ def _(t):
     return rounded(score.score_batch(t.predictor, model).select("vec_id", "score"))
 
 
-@query("M2_linear_baseline")
+@query("M2_linear_baseline", f"""
+SELECT trait, {_SCORES} FROM (SELECT f.trait, f.y, m.b0 + m.b1 * f.p + m.b2 * f.north AS p FROM fit_rows f JOIN fitted m ON m.trait = f.trait WHERE f.part = 'test') GROUP BY trait""", {
+    "fit_rows": """SELECT trait, y, p, row / 1000.0::double AS north, CASE WHEN source_code = 2 THEN 2.0::double ELSE 1.0::double END AS wt,
+ CASE WHEN row // ((h + 19) // 20) < 14 THEN 'train' WHEN row // ((h + 19) // 20) < 17 THEN 'val' ELSE 'test' END AS part FROM coded_pairs, dims""",
+    "fit_means": """SELECT trait, sum(wt) AS sw, sum(wt * p) / sum(wt) AS mp, sum(wt * north) / sum(wt) AS mn, sum(wt * y) / sum(wt) AS my
+ FROM fit_rows WHERE part = 'train' GROUP BY trait""",
+    "fit_moments": """SELECT f.trait, any_value(mp) AS mp, any_value(mn) AS mn, any_value(my) AS my, sum(wt * (p - mp) * (p - mp)) AS pp, sum(wt * (p - mp) * (north - mn)) AS pn,
+ sum(wt * (north - mn) * (north - mn)) AS nn, sum(wt * (p - mp) * (y - my)) AS py, sum(wt * (north - mn) * (y - my)) AS ny
+ FROM fit_rows f JOIN fit_means m ON m.trait = f.trait WHERE part = 'train' GROUP BY f.trait""",
+    "fitted": """SELECT trait, b1, b2, my - b1 * mp - b2 * mn AS b0 FROM (SELECT *, (py * nn - ny * pn) / (pp * nn - pn * pn) AS b1, (ny * pp - py * pn) / (pp * nn - pn * pn) AS b2 FROM fit_moments)""",
+})
 def _(t):
-    """Weighted linear fit of truth on prediction in the train rows, evaluated on the test rows."""
+    """Weighted linear fit of truth on prediction and northing in the train rows of every trait, evaluated on the test rows."""
     df = t.coded_pairs.withColumns(
-        {"split": t.pixel_split, "w": F.when(F.col("source_code") == 2, 2.0).otherwise(1.0)}
-    ).filter("trait = 'X2'")
-    model = score.linear_baseline(df.filter("split = 'train'"), ["p"], "y", "w")
-    test = df.filter("split = 'test'").select("trait", "y", F.array("p").alias("vec"))
-    scored = score.score_batch(test, [float(c) for c in model.coefficients], float(model.intercept), min_ratio=1.0)
+        {"split": t.pixel_split, "w": F.when(F.col("source_code") == 2, 2.0).otherwise(1.0), "north": F.col("row") / F.lit(1000.0)}
+    )
+    models = score.linear_baselines(df.filter("split = 'train'"), ["p", "north"], "y", "w")
+    scored = score.score_baselines(df.filter("split = 'test'"), models, ["p", "north"])
     return rounded(metrics.trait_metrics(scored, p="score"))

@@ -79,17 +79,17 @@ def _(t):
     return rounded(out.groupBy("row", "col", "source", "trait").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("v")))
 
 
-@query("IO6_band_reorder", "SELECT row, col, trait, count, round(mean, 8) AS mean, round(std, 8) AS std FROM aux_t")
+@query("IO6_band_reorder", "SELECT row, col, source, trait, count, round(mean, 8) AS mean, round(std, 8) AS std FROM target")
 def _(t):
-    return rounded(rasters.band_reorder(t.aux, ["Count", "MEAN", "std"], ["row", "col", "trait"]), 8)
+    return rounded(rasters.band_reorder(t.target, ["Count", "MEAN", "std"], ["row", "col", "source", "trait"]), 8)
 
 
 @query("IO6_band_array", """
-SELECT row, col, trait, round(std, 8) AS first_band, round(mean, 8) AS second_band FROM aux_t""")
+SELECT row, col, source, trait, round(std, 8) AS first_band, round(mean, 8) AS second_band FROM target""")
 def _(t):
-    df = t.aux.select("row", "col", "trait", F.array(F.lit("Mean"), F.lit("STD")).alias("names"), F.array("mean", "std").alias("vals"))
+    df = t.target.select("row", "col", "source", "trait", F.array(F.lit("Mean"), F.lit("STD")).alias("names"), F.array("mean", "std").alias("vals"))
     out = rasters.band_array(df, "names", "vals", ["std", "mean"])
-    return rounded(out.select("row", "col", "trait", F.col("bands")[0].alias("first_band"), F.col("bands")[1].alias("second_band")), 8)
+    return rounded(out.select("row", "col", "source", "trait", F.col("bands")[0].alias("first_band"), F.col("bands")[1].alias("second_band")), 8)
 
 
 @query("IO7_params_load", """

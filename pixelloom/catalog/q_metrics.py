@@ -248,13 +248,13 @@ def _(t):
 
 
 @query("J17_trait_meta_join", """
-SELECT p_brand AS display, p_type AS unit, v.row AS trait, v.n_valid, v.mae
-FROM (SELECT row, count(*) AS n_valid, round(avg(abs(p - y)), 6) AS mae FROM pairs WHERE trait = 'X1' GROUP BY row) v
+SELECT p_brand AS display, p_type AS unit, v.row AS trait, v.measure, v.n_valid, v.mae
+FROM (SELECT row, trait AS measure, count(*) AS n_valid, round(avg(abs(p - y)), 8) AS mae FROM pairs GROUP BY row, trait) v
 JOIN part ON p_partkey = v.row""")
 def _(t):
-    m = metrics.trait_metrics(t.pairs.filter("trait = 'X1'"), ["row"]).select(F.col("row").alias("trait"), "n_valid", "mae")
+    m = metrics.trait_metrics(t.pairs, ["row", "trait"]).select(F.col("row").alias("trait"), F.col("trait").alias("measure"), "n_valid", "mae")
     meta = t.read("part").select(F.col("p_partkey").cast("int").alias("trait"), F.col("p_brand").alias("display"), F.col("p_type").alias("unit"))
-    return rounded(merge.trait_meta_join(m, meta, t.primary.select(F.col("row").alias("trait"))))
+    return rounded(merge.trait_meta_join(m, meta, t.primary.select(F.col("row").alias("trait"))), 8)
 
 
 @query("M3_ensemble_scores", """

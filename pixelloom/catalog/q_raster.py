@@ -11,6 +11,7 @@ from pixelloom.functions import colour_index, from_6933, to_3857, to_6933
 from pixelloom.functions.projection import AUTHALIC_2, AUTHALIC_4, AUTHALIC_6, E2, E, K0, QP, SEMI_MAJOR
 from pixelloom.grid import GridSpec
 from pixelloom.operators import masks, resample
+from pixelloom.session import cut
 
 # Lattice of the predictor pixels on the globe: half-degree pixels from 60 N, 10 W.
 GEO = GridSpec("EPSG:4326", 0.5, -10.0, -0.5, 60.0, 4000, 25)
@@ -89,11 +90,16 @@ def _(t):
     return rounded(masks.snap_bbox(box, _GLOBAL).drop("lon_min", "lat_max"), 9)
 
 
+_COLOUR_RANGES = [("X1", 5.0, 45.0), ("X2", 1.37, 97.1), ("X3", 0.0013, 0.0971), ("X4", 0.0007, 0.0793)]
+
+
 @query("P18_colour_index", """
-SELECT row, col, floor(least(greatest((mean - 5) / 40, 0), 1) * 255)::int AS idx FROM target WHERE trait = 'X1' AND source = 'primary'""")
+SELECT row, col, source, t.trait, floor(least(greatest((mean - lo) / (hi - lo), 0), 1) * 255)::int AS idx
+FROM target t JOIN (VALUES ('X1', 5::double, 45::double), ('X2', 1.37, 97.1), ('X3', 0.0013, 0.0971), ('X4', 0.0007, 0.0793)) v(trait, lo, hi) ON v.trait = t.trait""")
 def _(t):
-    df = t.primary.filter("trait = 'X1'")
-    return df.select("row", "col", colour_index(F.col("mean"), F.lit(5.0), F.lit(45.0)).alias("idx"))
+    ranges = F.create_map(*[F.lit(v) for x, lo, hi in _COLOUR_RANGES for v in (x, [lo, hi])])
+    lo, hi = ranges[F.col("trait")][0], ranges[F.col("trait")][1]
+    return t.target.select("row", "col", "source", "trait", colour_index(F.col("mean"), lo, hi).alias("idx"))
 
 
 _BOX = (2.0, 10.0, 8.0, 35.0)
@@ -115,40 +121,47 @@ def _(t):
 
 
 @query("P14_land_finalize", """
-SELECT row, col, CASE WHEN land THEN round(mean, 6) END AS value, land, observed, land AND NOT observed AND mean IS NOT NULL AS imputed
-FROM (SELECT t.row, t.col, t.mean, n.cls = 10 AS land, t.count >= 2 AS observed FROM target t JOIN native_land n ON n.row = t.row AND n.col = t.col
-      WHERE t.trait = 'X1' AND t.source = 'aux')""")
+SELECT row, col, source, trait, CASE WHEN land THEN round(mean, 9) END AS value, land, observed, land AND NOT observed AND mean IS NOT NULL AS imputed
+FROM (SELECT t.row, t.col, t.source, t.trait, t.mean, n.cls = 10 AS land, t.count >= 2 AS observed FROM target t JOIN native_land n ON n.row = t.row AND n.col = t.col)""")
 def _(t):
-    df = t.aux.filter("trait = 'X1'").join(t.native_land, ["row", "col"]).select(
-        "row", "col", F.col("mean").alias("value"), (F.col("cls") == 10).alias("land"), (F.col("count") >= 2).alias("observed")
+    df = t.target.join(t.native_land, ["row", "col"]).select(
+        "row", "col", "source", "trait", F.col("mean").alias("value"), (F.col("cls") == 10).alias("land"), (F.col("count") >= 2).alias("observed")
     )
-    return rounded(masks.land_finalize(df))
+    return rounded(masks.land_finalize(df), 9)
+
+
+# least mean of each trait that counts as data
+_LIMITS = [("X1", 44.3), ("X2", 79.77), ("X3", 0.0893), ("X4", 0.0747)]
+_LIMITED = {"limited": f"""SELECT row, col, CASE WHEN mean >= v.least THEN 1 ELSE 0 END AS valid FROM target t
+ JOIN (VALUES {", ".join(f"('{x}', {v}::double)" for x, v in _LIMITS)}) v(trait, least) ON v.trait = t.trait"""}
+
+
+def _limited(t):
+    least = F.create_map(*[F.lit(v) for pair in _LIMITS for v in pair])
+    return t.target.select("row", "col", F.when(F.col("mean") >= least[F.col("trait")], F.col("mean")).alias("value"))
 
 
 @query("P6_validity_mask", """
-SELECT row, col, max(CASE WHEN v IS NOT NULL THEN 1 ELSE 0 END)::int AS valid FROM (
- SELECT row, col, CASE WHEN mean >= 0.02::double THEN mean END AS v FROM target WHERE trait IN ('X3', 'X4')) GROUP BY ALL""")
+SELECT row, col, max(valid)::int AS valid FROM limited GROUP BY row, col""", _LIMITED)
 def _(t):
-    df = t.target.filter("trait in ('X3', 'X4')").select("row", "col", F.when(F.col("mean") >= 0.02, F.col("mean")).alias("value"))
-    return masks.validity_mask(df)
+    return masks.validity_mask(_limited(t))
 
 
 @query("P6_validity_share", """
 SELECT sum(valid)::bigint AS n_valid, (SELECT h * w FROM dims)::bigint AS n_pixels, round(sum(valid)::double / (SELECT h * w FROM dims), 9) AS share
-FROM (SELECT row, col, max(CASE WHEN mean >= 0.02::double THEN 1 ELSE 0 END) AS valid FROM target WHERE trait IN ('X3', 'X4') GROUP BY ALL)""")
+FROM (SELECT row, col, max(valid) AS valid FROM limited GROUP BY row, col)""", _LIMITED)
 def _(t):
-    df = t.target.filter("trait in ('X3', 'X4')").select("row", "col", F.when(F.col("mean") >= 0.02, F.col("mean")).alias("value"))
-    return rounded(masks.validity_share(masks.validity_mask(df), t.grid), 9)
+    return rounded(masks.validity_share(masks.validity_mask(_limited(t)), t.grid), 9)
 
 
 @query("P7_apply_water_mask", """
-SELECT t.row, t.col, round(CASE WHEN t.row >= h // 2 OR m.cls = 10 THEN t.mean END, 6) AS value
-FROM target t CROSS JOIN dims LEFT JOIN native_land m ON m.row = t.row AND m.col = t.col WHERE t.trait = 'X1' AND t.source = 'primary'""")
+SELECT t.row, t.col, t.source, t.trait, round(CASE WHEN t.row >= h // 2 OR m.cls = 10 THEN t.mean END, 9) AS value
+FROM target t CROSS JOIN dims LEFT JOIN native_land m ON m.row = t.row AND m.col = t.col""")
 def _(t):
-    dem = t.primary.filter("trait = 'X1'").select("row", "col", F.col("mean").alias("value"))
+    dem = t.target.select("row", "col", "source", "trait", F.col("mean").alias("value"))
     mask = t.native_land.select("row", "col", F.when(F.col("cls") == 80, 0).otherwise(1).alias("land"))
     half = t.grid.height // 2
-    return rounded(masks.apply_water_mask(dem, mask, (0, half, 0, t.grid.width)))
+    return rounded(masks.apply_water_mask(dem, mask, (0, half, 0, t.grid.width)), 9)
 
 
 @query("P2_grid_conformity", """
@@ -170,9 +183,9 @@ def _(t):
 
 
 @query("A28_block_mean", """
-SELECT row // 4 AS row, col // 4 AS col, trait, round(avg(mean), 9) AS value FROM target WHERE source = 'aux' GROUP BY row // 4, col // 4, trait""")
+SELECT row // 4 AS row, col // 4 AS col, source, trait, round(avg(mean), 9) AS value FROM target GROUP BY row // 4, col // 4, source, trait""")
 def _(t):
-    return rounded(resample.block_mean(t.aux, 4, ["trait"], "mean"), 9)
+    return rounded(resample.block_mean(t.target, 4, ["source", "trait"], "mean"), 9)
 
 
 @query("A28_block_mean_vector", """
@@ -250,9 +263,9 @@ def _(t):
 
 
 @query("A33_auto_range", """
-SELECT trait, round(quantile_cont(mean, 0.02), 6) AS vmin, round(quantile_cont(mean, 0.98), 6) AS vmax FROM target WHERE source = 'aux' GROUP BY trait""")
+SELECT source, trait, round(quantile_cont(mean, 0.02), 6) AS vmin, round(quantile_cont(mean, 0.98), 6) AS vmax FROM target GROUP BY source, trait""")
 def _(t):
-    return rounded(resample.auto_range(t.aux, value="mean"))
+    return rounded(resample.auto_range(cut(t.target.select("source", "trait", "mean")), value="mean", by=["source", "trait"]))
 
 
 def _tile(axis: str, z: int) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.catalog.registry import query, rounded
 from pixelloom.operators import profile, runs
+from pixelloom.session import cut
 from pixelloom.sources import rasters
 
 _SEL = {
@@ -108,16 +109,19 @@ def _(t):
 
 
 @query("A40_histogram_pair", """
-SELECT sample, bin::int AS bin, n, round(n / (sum(n) OVER (PARTITION BY sample) * width), 6) AS density, round(lo + bin * width, 6) AS left_edge
-FROM (SELECT sample, least(floor((value - lo) / width), 79)::int AS bin, lo, width, count(*)::bigint AS n
-      FROM both_s, (SELECT quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi, (quantile_cont(value, 0.99) - quantile_cont(value, 0.01)) / 80 AS width FROM both_s)
+SELECT trait, sample, bin::int AS bin, n, round(n / (sum(n) OVER (PARTITION BY trait, sample) * width), 6) AS density, round(lo + bin * width, 6) AS left_edge
+FROM (SELECT b.trait, sample, least(floor((value - lo) / width), 36)::int AS bin, lo, width, count(*)::bigint AS n
+      FROM both_s b JOIN (SELECT trait, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi, (quantile_cont(value, 0.99) - quantile_cont(value, 0.01)) / 37 AS width FROM both_s GROUP BY trait) e
+        ON e.trait = b.trait
       WHERE value BETWEEN lo AND hi GROUP BY ALL)""",
-       {"both_s": "SELECT 'truth' AS sample, y AS value FROM pairs WHERE trait = 'X2' UNION ALL SELECT 'pred', p FROM pairs WHERE trait = 'X2'"})
+       {"both_s": """SELECT trait, 'truth' AS sample, y + row * 1e-7::double + col * 1e-10::double AS value FROM pairs
+        UNION ALL SELECT trait, 'pred', p + row * 1e-7::double + col * 1e-10::double FROM pairs"""})
 def _(t):
-    df = t.pairs.filter("trait = 'X2'").select(F.explode(F.array(
-        F.struct(F.lit("truth").alias("sample"), F.col("y").alias("value")),
-        F.struct(F.lit("pred").alias("sample"), F.col("p").alias("value")))).alias("s")).select("s.*")
-    return rounded(profile.histogram_pair(df))
+    # a little is added to each value, since means of two-digit numbers lie on the edges of bins and rounding would decide
+    df = t.pairs.select("trait", F.inline(F.array(
+        F.struct(F.lit("truth").alias("sample"), (F.col("y") + F.col("row") * F.lit(1e-7) + F.col("col") * F.lit(1e-10)).alias("value")),
+        F.struct(F.lit("pred").alias("sample"), (F.col("p") + F.col("row") * F.lit(1e-7) + F.col("col") * F.lit(1e-10)).alias("value")))))
+    return rounded(profile.histogram_pair(cut(df), 37, by=["trait"]))
 
 
 @query("A41_box_stats", """
@@ -137,9 +141,9 @@ def _(t):
 
 
 @query("W7_grid_infer", """
-SELECT f.row - (SELECT min(row) FROM folds WHERE trait = 'X1') AS row, f.col - (SELECT min(col) FROM folds WHERE trait = 'X1') AS col, fold FROM folds f WHERE trait = 'X1'""")
+SELECT trait, f.row - (SELECT min(row) FROM folds) AS row, f.col - (SELECT min(col) FROM folds) AS col, fold FROM folds f""")
 def _(t):
-    return profile.grid_infer(t.fold_pixels)[1].select("row", "col", "fold")
+    return profile.grid_infer(cut(t.folds))[1].select("trait", "row", "col", "fold")
 
 
 @query("W8_cdf", """

@@ -184,10 +184,6 @@ class Tables:
             "trait", self.grid.x("col").alias("x"), self.grid.y("row").alias("y"), "fold"
         )
 
-    @cached_property
-    def fold_pixels(self) -> DataFrame:
-        return self.folds.filter("trait = 'X1'").select("x", "y", "fold")
-
     @cached_property
     def predictor(self) -> DataFrame:
         """64-band predictor pixels: values below the valid minimum are missing, label 0 is nodata."""

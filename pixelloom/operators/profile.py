@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions.missing import finite
 from pixelloom.grid import GridSpec
-from pixelloom.operators.ranking import exact_quantiles
+from pixelloom.operators.ranking import exact_quantiles, null_safe_join
 from pixelloom.session import small_side
 
 
@@ -60,23 +60,25 @@ def run_summary(df: DataFrame, by: str) -> DataFrame:
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("n_files"))
 
 
-def histogram_pair(df: DataFrame, bins: int = 80, lo: float = 0.01, hi: float = 0.99) -> DataFrame:
-    """Densities of two samples (``sample, value``) on shared edges between two joint percentiles.
+def histogram_pair(
+    df: DataFrame, bins: int = 80, lo: float = 0.01, hi: float = 0.99, by: Sequence[str] = ()
+) -> DataFrame:
+    """Densities of two samples (``sample, value``) on shared edges between two joint percentiles, per ``by``.
 
-    Values outside the edges are not counted, as in a plotted histogram; the last bin is closed.
+    Values outside the edges are not counted, as in a plotted histogram; the last bin is closed. A group whose edges
+    coincide has no bins.
     """
-    edges = exact_quantiles(df, [], "value", {"lo": lo, "hi": hi}).first()
-    if edges is None or edges["hi"] is None or edges["hi"] <= edges["lo"]:
-        return df.sparkSession.createDataFrame([], "sample string, bin int, n bigint, density double, left_edge double")
-    low, high = edges["lo"], edges["hi"]
-    width = (high - low) / bins
-    inside = df.filter((F.col("value") >= low) & (F.col("value") <= high))
-    index = F.least(F.floor((F.col("value") - low) / width), F.lit(bins - 1)).cast("int")
-    counts = inside.groupBy("sample", index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(W.partitionBy("sample"))
+    keys = ["__group"] if not by else list(by)
+    df = df.withColumn("__group", F.lit(0)) if not by else df
+    edges = exact_quantiles(df, keys, "value", {"lo": lo, "hi": hi}).filter("hi > lo")
+    edges = edges.withColumn("width", (F.col("hi") - F.col("lo")) / bins)
+    inside = null_safe_join(df, edges, keys).filter((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi")))
+    index = F.least(F.floor((F.col("value") - F.col("lo")) / F.col("width")), F.lit(bins - 1)).cast("int")
+    counts = inside.groupBy(*keys, "sample", "lo", "width", index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(W.partitionBy(*keys, "sample"))
     return counts.select(
-        "sample", "bin", "n", F.try_divide(F.col("n"), total * width).alias("density"),
-        (F.lit(low) + F.col("bin") * width).alias("left_edge"),
+        *by, "sample", "bin", "n", F.try_divide(F.col("n"), total * F.col("width")).alias("density"),
+        (F.col("lo") + F.col("bin") * F.col("width")).alias("left_edge"),
     )
 
 

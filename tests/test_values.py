@@ -17,7 +17,7 @@ from pixelloom.functions import (
     to_6933,
     yeo_johnson_core,
 )
-from pixelloom.operators import masks, merge, metrics, quality, transforms
+from pixelloom.operators import masks, merge, metrics, profile, quality, score, transforms
 from pixelloom.operators.transforms import DenormOptions
 from pixelloom.sources import rasters
 
@@ -243,3 +243,48 @@ def test_both_sources_equal_the_join_of_two_tables(spark):
         assert values == pytest.approx(want[key])
     pairs = {tuple(r)[:3] for r in merge.source_pairs(sides).collect()}
     assert pairs == {k for k in got if table.filter((F.col("row") == k[0]) & (F.col("col") == k[1]) & (F.col("trait") == k[2])).count() == 2}
+
+
+def test_linear_fits_equal_least_squares(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for trait in ("a", "b", None):
+        x = rng.normal(size=(200, 3)) @ rng.normal(size=(3, 3)) + 5
+        y = x @ rng.normal(size=3) + 2 + rng.normal(size=200)
+        rows += [(trait, *map(float, r), float(v), float(w)) for r, v, w in zip(x, y, rng.integers(1, 4, 200))]
+    good = list(rows)
+    rows += [("a", None, 1.0, 1.0, 1.0, 1.0), ("a", 1.0, float("nan"), 1.0, 1.0, 1.0), ("b", 1.0, 1.0, 1.0, None, 1.0)]
+    # features that depend on each other
+    rows += [("c", float(i), 2.0 * i, 1.0, 1.0 * i, 1.0) for i in range(9)]
+    df = spark.createDataFrame(rows, "trait string, u double, v double, t double, y double, w double").repartition(5)
+    models = score.linear_baselines(df, ["u", "v", "t"], "y", "w")
+    got = {r.trait: r for r in models.collect()}
+    assert set(got) == {"a", "b", None, "c"} and got["c"].coefficients is None
+    for trait in ("a", "b", None):
+        m = np.array([r[1:] for r in good if r[0] == trait])
+        root = np.sqrt(m[:, 4:])
+        want = np.linalg.lstsq(np.column_stack((np.ones(200), m[:, :3])) * root, m[:, 3] * root[:, 0], rcond=None)[0]
+        assert [got[trait].intercept, *got[trait].coefficients] == pytest.approx(want) and got[trait].total_weight == m[:, 4].sum()
+    scored = score.score_baselines(df, models, ["u", "v", "t"])
+    assert scored.count() == len(rows)
+    assert scored.filter("score is null").count() == 2 + 9
+    whole = score.linear_baselines(df.filter("trait = 'a'"), ["u", "v", "t"], "y", "w", by=[]).first()
+    assert whole.coefficients == pytest.approx(got["a"].coefficients)
+    assert score.linear_baselines(df.limit(0), ["u"], "y").count() == 0
+
+
+def test_histogram_pair_per_group(spark):
+    rng = np.random.default_rng(1)
+    rows = [(g, s, float(v)) for g in ("a", None) for s in ("truth", "pred") for v in rng.normal(size=300)] + [("flat", "truth", 1.0)] * 5
+    df = spark.createDataFrame(rows, "g string, sample string, value double")
+    got = {(r.g, r.sample, r.bin): r.n for r in profile.histogram_pair(df, 7, by=["g"]).collect()}
+    for g in ("a", None):
+        v = np.array([x for k, _, x in rows if k == g])
+        lo, hi = np.quantile(v, [0.01, 0.99])
+        for s in ("truth", "pred"):
+            mine = np.array([x for k, t, x in rows if (k, t) == (g, s)])
+            want = np.histogram(mine, np.linspace(lo, hi, 8))[0]
+            assert [got.get((g, s, b), 0) for b in range(7)] == want.tolist()
+    assert not any(k[0] == "flat" for k in got)
+    alone = df.filter("g = 'a'")
+    assert {(r.sample, r.bin): r.n for r in profile.histogram_pair(alone, 7).collect()} == {k[1:]: n for k, n in got.items() if k[0] == "a"}
