@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pixelloom.functions.missing import finite
 from pixelloom.grid import GridSpec
 from pixelloom.operators.ranking import exact_quantiles, null_safe_join
-from pixelloom.session import small_side
+from pixelloom.operators.scan import previous, running_sum
+from pixelloom.session import cut, small_side
 
 
 def describe(df: DataFrame, by: Sequence[str] = (), value: str = "value") -> DataFrame:
@@ -102,12 +103,9 @@ def log_histogram(df: DataFrame, by: Sequence[str], value: str, bins_per_decade:
 
 
 def spacing(df: DataFrame, axis: str) -> DataFrame:
-    """Median step between sorted distinct coordinates, and their range.
-
-    Distinct coordinates of one axis number at most the grid's width or height.
-    """
-    w = W.partitionBy(F.lit(0)).orderBy(axis)
-    steps = df.select(axis).distinct().withColumn("d", F.col(axis) - F.lag(axis).over(w))
+    """Median step between sorted distinct coordinates, and their range. NULL coordinates are left out."""
+    known = df.select(axis).filter(F.col(axis).isNotNull()).distinct()
+    steps = previous(known, axis).withColumn("d", F.col(axis) - F.col("before"))
     return steps.agg(
         F.percentile("d", 0.5).alias("step"), F.min(axis).alias("lo"), F.max(axis).alias("hi")
     )
@@ -133,14 +131,11 @@ def grid_infer(df: DataFrame, crs: str = "EPSG:6933") -> tuple[GridSpec, DataFra
 
 
 def cdf(df: DataFrame, value: str) -> DataFrame:
-    """Cumulative share of sizes not above each distinct value.
-
-    Equal sizes are counted first; distinct sizes of things that share one total stay few.
-    """
+    """Cumulative share of sizes not above each distinct value, counted from NULL on."""
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    w = W.partitionBy(F.lit(0))
-    upto = F.sum("n").over(w.orderBy(value))
-    return counts.select(value, "n", F.try_divide(upto, F.sum("n").over(w)).alias("cum_share"))
+    summed = cut(running_sum(counts, value, "n"), "cdf")
+    total = F.lit(summed.agg(F.max("upto")).first()[0])
+    return summed.select(value, "n", F.try_divide("upto", total).alias("cum_share"))
 
 
 def deciles(df: DataFrame, value: str) -> DataFrame:

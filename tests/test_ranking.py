@@ -1,11 +1,14 @@
 """Spread ranks and quantiles equal the one-task versions, also for one dominant group."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pixelloom.functions import seeded_key
+from pixelloom.operators import profile, scan
 from pixelloom.operators.merge import band_stats
 from pixelloom.operators.ranking import exact_quantiles, group_quantiles, hot_keys, spread_rank
 
@@ -90,3 +93,22 @@ def test_null_group_and_nan_keep_their_place(spark):
     for extra in ((), (F.count(F.lit(1)).alias("n"),)):
         got = {r.trait: r.med for r in exact_quantiles(df, ["trait"], "v", {"med": 0.5}, extra).collect()}
         assert got == {None: 2.0, "X": 5.0}
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_scans_equal_one_task(spark, parts):
+    rng = random.Random(parts)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, *range(40)]), rng.randrange(9), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, k int, n int, i int").repartition(7)
+    place = lambda k: -1 if k is None else k
+    for r in scan.running_sum(df, "k", "n", ["g"], parts=parts).collect():
+        assert r.upto == sum(n for g, k, n, _ in rows if g == r.g and place(k) <= place(r.k))
+    whole = scan.running_sum(df, "k", "n", parts=parts).collect()
+    assert len(whole) == 500 and all(r.upto == sum(n for _, k, n, _ in rows if place(k) <= place(r.k)) for r in whole)
+    keys = df.select("g", "k").distinct().filter("k is not null")
+    got = {(r.g, r.k): r.before for r in scan.previous(keys, "k", ["g"], parts=parts).collect()}
+    known = {(g, k) for g, k, _, _ in rows if k is not None}
+    assert got == {(g, k): max((x for h, x in known if h == g and x < k), default=None) for g, k in known}
+    assert scan.running_sum(df.limit(0), "k", "n", parts=parts).count() == 0
+    shares = profile.cdf(df, "k").collect()
+    assert {r.k: r.cum_share for r in shares} == {k: pytest.approx(sum(place(x) <= place(k) for _, x, _, _ in rows) / 500) for k in {r[1] for r in rows}}
