@@ -16,7 +16,7 @@ if _HERE not in sys.path:
     sys.path.insert(0, _HERE)
 
 from pixelloom.llm import decontaminate, minhash, mixing, tokens, toxicity  # noqa: E402
-from pixelloom.session import cut  # noqa: E402
+from pixelloom.session import cut, discard  # noqa: E402
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +60,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

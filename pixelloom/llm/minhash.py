@@ -31,13 +31,15 @@ from pyspark.sql import functions as F
 
 from pixelloom.llm.components import components
 from pixelloom.llm.textbytes import NOT_SPACE, find_words, mix, shingles, slices, small_batches, text_buffer
-from pixelloom.session import cut
+from pixelloom.session import cut, discard
 
 ROWS, BANDS, BITS, HASHES = 5, 25, 4, 128
 LANES = 64 // BITS
 MARGIN = 0.2
-#: Members of an unresolved bucket that are compared in one block: those that ask, and those asked.
-ASKING, ASKED = 512, 2048
+#: Members of an unresolved bucket that are compared in one block, those that ask and those asked: rows, and shingles of
+#: their full sets (8 bytes each), of which the block holds all at once in the end.
+ASKING, ASKED = 4096, 8192
+ASKING_SHINGLES, ASKED_SHINGLES = 2 << 20, 4 << 20
 
 _random = np.random.Generator(np.random.PCG64(7))
 MULTIPLIERS = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -184,40 +186,55 @@ def _full_sets(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, n
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): documents linked when 100 * intersection >= threshold * union."""
+    return _link(docs, id_col, text_col, n, threshold)[0]
+
+
+def _link(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The links, and the tables in the shared folder that they are read from; all others are deleted on the way."""
     small_batches(docs.sparkSession)
     all_docs = cut(sketches(docs, id_col, text_col, n), "sketches")
     # the smallest doc_id of a class, and its sketch; equal sets have equal sketches
     classes = (
         all_docs.where("node IS NOT NULL")
         .groupBy("node")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+        .agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "signature")])
     )
     classes = cut(classes, "classes")
     signatures = classes.select("node", "signature")
-    members = classes.select("node", F.posexplode("bands").alias("band", "key"))
+    members = classes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
 
     stars = members.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("size")).where("size > 1")
     pairs = members.join(stars.select("key", "a"), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     likely = cut(_likely(pairs, signatures, threshold), "pairs")
-    edges = cut(_verified(docs, classes, likely, id_col, text_col, n, threshold), "edges")
-    roots = cut(components(edges), "roots")
-
-    open_rows = cut(_open_members(members, classes, roots, threshold), "open")
+    nodes = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
+    sets = cut(_full_sets(docs, classes.select("node", "doc_id").join(nodes, "node"), id_col, text_col, n).dropDuplicates(["node"]), "sets")
+    edges = cut(_confirm(likely, sets, threshold), "edges")
+    discard(likely, sets)
+    roots = components(edges)
+
+    mixed = cut(_mixed_buckets(members, classes, roots), "mixed")
+    open_rows = cut(_open_members(mixed, threshold), "open")
+    discard(mixed)
     if not open_rows.isEmpty():
         chosen = classes.select("node", "doc_id").join(open_rows.select("node").distinct(), "node")
         sets = cut(_full_sets(docs, chosen, id_col, text_col, n).dropDuplicates(["node"]), "sets")
-        edges = edges.union(cut(_cross_links(open_rows, sets, threshold), "edges"))
-        roots = cut(components(edges), "roots")
+        more = cut(_cross_links(open_rows, sets, threshold), "edges")
+        discard(sets, roots)
+        roots = components(edges.union(more))
+        discard(more)
+    discard(open_rows, edges)
 
     grouped = classes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = cut(grouped.join(least, "root").select(F.col("node"), "component_id"), "named")
-    return (
+    discard(classes, roots)
+    linked = (
         all_docs.select("doc_id", "n_shingles", "node")
         .join(named, "node", "left")
         .select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
+    return linked, [all_docs, named]
 
 
 def _likely(pairs: DataFrame, signatures: DataFrame, threshold: int) -> DataFrame:
@@ -280,22 +297,23 @@ def _likely_in_block(block: pa.Table, threshold: int) -> Iterator[tuple[int, np.
                 yield int(rows[i]), asked[near[np.argsort(-equal[i][near], kind="stable")]]
 
 
-def _open_members(members: DataFrame, classes: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
-    """Rows of blocks of the buckets with several components: those with a likely partner in another component."""
-    labelled = members.join(roots, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
-    sizes = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
+def _mixed_buckets(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of the buckets with several components, and in how many blocks each bucket is compared."""
+    labelled = members.join(roots, "node", "left").select("key", "band", "node", "n_shingles", F.coalesce("root", "node").alias("root"))
+    sizes = labelled.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    blocks = lambda rows, most, held, limit: F.ceil(F.greatest(rows / F.lit(most), held / F.lit(limit))).cast("int")
+    n, s = F.col("size") - F.col("most.n"), F.col("held") - F.col("most.s")
     mixed = (
         sizes.groupBy("key")
-        .agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("size"), F.count("*").alias("roots"))
+        .agg(F.max(F.struct("n", "root", "s")).alias("most"), F.sum("n").alias("size"), F.sum("s").alias("held"), F.count("*").alias("roots"))
         .where("roots > 1")
-        .select(
-            "key",
-            F.col("most.root").alias("main"),
-            F.ceil((F.col("size") - F.col("most.n")) / F.lit(ASKING)).cast("int").alias("nq"),
-            F.ceil(F.col("size") / F.lit(ASKED)).cast("int").alias("nm"),
-        )
+        .select("key", F.col("most.root").alias("main"), blocks(n, ASKING, s, ASKING_SHINGLES).alias("nq"), blocks(F.col("size"), ASKED, F.col("held"), ASKED_SHINGLES).alias("nm"))
     )
-    rows = cut(labelled.join(mixed, "key").join(classes.select("node", "bands", "signature"), "node"), "mixed")
+    return labelled.drop("n_shingles").join(mixed, "key").join(classes.select("node", "bands", "signature"), "node")
+
+
+def _open_members(rows: DataFrame, threshold: int) -> DataFrame:
+    """Rows of blocks of the buckets with several components: those with a likely partner in another component."""
     dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     kept = ["node", "root", "band", "bands", "signature"]
@@ -352,20 +370,15 @@ def _cross_links(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
-def _verified(docs, classes, pairs, id_col, text_col, n, threshold) -> DataFrame:
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    chosen = classes.select("node", "doc_id").join(nodes, "node")
-    sets = cut(_full_sets(docs, chosen, id_col, text_col, n).dropDuplicates(["node"]), "sets")
-    return _confirm(pairs, sets, threshold)
-
-
 def deduplicate(docs: DataFrame, n: int = 3, threshold: int = 85) -> DataFrame:
     """One document of each component, with the columns of ``docs``.
 
     Rows that repeat a kept doc_id, or have none, can't be told apart by it: of those, equal texts stay once.
     """
-    kept = link(docs, "doc_id", "text", n, threshold).where("kept").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    linked, tables = _link(docs, "doc_id", "text", n, threshold)
+    kept = linked.where("kept").groupBy("doc_id").agg(F.count("*").alias("rows"))
     kept = cut(kept.select(F.col("doc_id").alias("_kept"), ((F.col("rows") > 1) | F.col("doc_id").isNull()).alias("_many")), "kept")
+    discard(*tables)
     held = docs.withColumnsRenamed({c: f"_own_{i}" for i, c in enumerate(docs.columns)})
     own = dict(zip(docs.columns, held.columns))
     number = F.col(own["doc_id"]).cast("long")

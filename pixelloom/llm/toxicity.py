@@ -21,12 +21,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pixelloom.llm.textbytes import mix, slices, small_batches
-from pixelloom.session import cut
+from pixelloom.session import cut, discard
 
 GRAMS = (3, 4, 5)
 BITS = 20
@@ -128,19 +129,30 @@ def fit(rows: DataFrame) -> Model:
     order, ratios = np.zeros(1 << BITS, np.int64), np.array([r["ratio"] for r in top])
     order[columns] = np.arange(len(columns))
 
+    size = len(columns)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 19):
                 owner, column = gram_columns(part.column("text").to_pylist(), used)
-                cuts = np.searchsorted(owner, np.arange(part.num_rows + 1))
-                own = [np.sort(order[column[a:b]]).tolist() for a, b in zip(cuts[:-1], cuts[1:])]
-                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(own, pa.list_(pa.int64()))], names=["label", "own"])
-
-    size = len(columns)
-    vector = F.udf(lambda own: SparseVector(size, own, ratios[own].tolist()), VectorUDT())
-    data = rows.mapInArrow(run, "label double, own array<long>").select(F.when(F.col("label") > 0, 1.0).otherwise(0.0).alias("label"), vector("own").alias("features"))
-    data = cut(data, "toxic-features")
+                own = order[column]
+                by_place = np.lexsort((own, owner))
+                own = own[by_place]
+                ends = pa.array(np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32))
+                # a sparse vector: kind 0, size, places and values
+                fields = [
+                    pa.array(np.zeros(part.num_rows, np.int8)),
+                    pa.array(np.full(part.num_rows, size, np.int32)),
+                    pa.ListArray.from_arrays(ends, pa.array(own.astype(np.int32))),
+                    pa.ListArray.from_arrays(ends, pa.array(ratios[own])),
+                ]
+                features = pa.StructArray.from_arrays(fields, names=["type", "size", "indices", "values"])
+                label = pa.array((part.column("label").to_numpy() > 0).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([label, features], names=["label", "features"])
+
+    data = cut(rows.mapInArrow(run, T.StructType([T.StructField("label", T.DoubleType()), T.StructField("features", VectorUDT())])), "toxic-features")
     fitted = LogisticRegression(maxIter=100, regParam=1e-4, standardization=False).fit(data)
+    discard(rows, data)
     weights = np.zeros(1 << BITS)
     weights[columns] = fitted.coefficients.toArray() * ratios
     return Model(weights, used & (weights != 0), float(fitted.intercept))
