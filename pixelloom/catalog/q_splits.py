@@ -215,8 +215,27 @@ def _(t):
     """Rows only: swaps are seeded, tests check the invariants."""
     edges = _edges(t)
     c, h = cut(_cells(t)), cut(_hist(t, edges))
-    labels, _score = splits.split_stratified(c, h, edges, _counts(c.count()), 1, SEED)
-    return splits.split_decluster(labels, h, edges, k=1, max_rounds=2, kind="square", seed=SEED)
+    labels, _score = splits.split_stratified(c, h, edges, _counts(c.count()), RESTARTS, SEED)
+    return splits.split_decluster(labels, h, edges, k=1, kind="square", seed=SEED)
+
+
+@query("I3_decluster_invariants", f"""
+SELECT label, count(*) AS n_cells, true AS all_cells, true AS fewer_violations, true AS within_budget FROM ({_BEST}) GROUP BY label""",
+       {**_QUOTA, **_JSD, "labels_t": "SELECT k, cell_id, label FROM cand"})
+def _(t):
+    """What de-clustering must keep: the cells, the size of each split, the distance budget; and violations must fall."""
+    edges = _edges(t)
+    c, h = cut(_cells(t)), cut(_hist(t, edges))
+    before, score = splits.split_stratified(c, h, edges, _counts(c.count()), RESTARTS, SEED)
+    before = cut(before)
+    after = splits.split_decluster(before, h, edges, k=1, kind="square", seed=SEED)
+    bad = [splits.violations(x, "square", 1, (splits.TEST,)).count() for x in (before, after)]
+    distance = hist.jsd_score(h, after, edges).first()["jsd"]
+    same = after.join(c, "cell_id", "full_outer").filter("label is null or parent_id is null").isEmpty()
+    return after.groupBy("label").agg(F.count(F.lit(1)).alias("n_cells")).select(
+        "label", "n_cells", F.lit(same).alias("all_cells"), F.lit(bad[1] < bad[0] or bad[0] == 0).alias("fewer_violations"),
+        F.lit(distance <= score * 1.05 + 1e-12).alias("within_budget"),
+    )
 
 
 def _plan_cells(t):
@@ -255,7 +274,7 @@ def _plan(t, decluster=False):
     edges = small_side(hist.feature_edges(feats, BINS))
     return splits.split_plan(
         cut(p), cut(a), v, hist.cell_histogram(feats, edges), edges, FRACTIONS, restarts=RESTARTS, seed=SEED,
-        decluster=decluster, kind="square", k=2, max_rounds=1,
+        decluster=decluster, kind="square", k=2,
     )
 
 

@@ -139,7 +139,7 @@ def test_decluster_invariants(spark, kind):
     ids = sorted(r.cell_id for r in c.collect())
     before = {i: (2 if n < 8 else 1 if n % 9 == 0 else 0) for n, i in enumerate(ids)}
     frame = spark.createDataFrame(list(before.items()), "cell_id bigint, label int")
-    after = {r.cell_id: r.label for r in splits.split_decluster(frame, h, edges, k=0, tol=0.5, max_rounds=4, kind=kind, seed=1).collect()}
+    after = {r.cell_id: r.label for r in splits.split_decluster(frame, h, edges, k=0, tol=0.5, kind=kind, seed=1).collect()}
     assert sorted(after) == ids and sorted(after.values()) == sorted(before.values())
     assert len(violations(after, 0, kind)) < len(violations(before, 0, kind))
     start = hist.jsd_score(h, frame, edges).first().jsd
@@ -147,6 +147,26 @@ def test_decluster_invariants(spark, kind):
     assert end <= start * 1.5 + 1e-12
 
 
+def test_distances_after_every_prefix_of_swaps(spark):
+    _df, c, edges, h = split_inputs(spark)
+    ids = sorted(r.cell_id for r in c.collect())
+    labels = {i: n % 3 for n, i in enumerate(ids)}
+    rng = random.Random(9)
+    rng.shuffle(ids)
+    # the last swap is of cells that the histogram does not know
+    pairs = [(a, b) for a, b in zip(ids[:40:2], ids[1:40:2]) if labels[a] != labels[b]] + [(-5, -6)]
+    labels.update({-5: 0, -6: 2})
+    swaps = spark.createDataFrame([(n + 1, a, b, labels[a], labels[b]) for n, (a, b) in enumerate(pairs)], "ord bigint, a bigint, b bigint, la int, lb int").repartition(3)
+    frame = lambda m: spark.createDataFrame(list(m.items()), "cell_id bigint, label int")
+    got = {r.ord: r.jsd for r in splits.prefix_distances(frame(labels), swaps, h, edges).collect()}
+    assert sorted(got) == list(range(1, len(pairs) + 1))
+    counts = {(r.cell_id, r.feature, r.bin): r.n for r in h.collect()}
+    now = dict(labels)
+    for n, (a, b) in enumerate(pairs, 1):
+        now[a], now[b] = now[b], now[a]
+        assert got[n] == pytest.approx(brute_jsd(counts, now, 6), abs=1e-9)
+
+
 def test_split_plan_rules(spark):
     df, c, edges, h = split_inputs(spark)
     far = lambda lo, hi: spark.range(lo, hi).select(F.col("id").alias("cell_id"), F.lit(0).cast("bigint").alias("parent_id"))
