@@ -19,6 +19,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelloom.session import cut
+
 # Common licence notices.
 NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -59,27 +61,62 @@ def known_licenses(spark: SparkSession, path: str | None = None) -> DataFrame:
     return spark.createDataFrame([*((i, t, None) for i, t in NOTICES), *((i, None, d) for i, d in digests)], "license_id string, text string, digest string")
 
 
+#: Known digests of at most so many bytes are sent to every task; of more, the join is left to Spark.
+SENT_BYTES = 8 << 20
+
+
+def _joined(parts: Column) -> Column:
+    """The canonical form of texts after one another, from their canonical forms."""
+    out = F.concat(F.lit(" "), F.array_join(F.filter(parts, lambda x: x != ""), " "), F.lit(" "))
+    for spelled, meant in SPELLINGS:
+        if " " in spelled:
+            # words that only meet at a seam
+            out = F.replace(out, F.lit(f" {spelled} "), F.lit(f" {meant} "))
+    return F.trim(out)
+
+
+def known_digests(known: DataFrame) -> DataFrame:
+    """(known_digest, known_license), one row a digest."""
+    own = F.lit(None).cast("string")
+    if "text" in known.columns:
+        body = canonical(F.col("text"))
+        own = F.when(body != "", F.sha2(body, 256))
+    table = known.select("license_id", F.coalesce("digest", own).alias("known_digest") if "digest" in known.columns else own.alias("known_digest"))
+    table = table.where("license_id IS NOT NULL AND known_digest IS NOT NULL").groupBy("known_digest").agg(F.min("license_id").alias("known_license"))
+    table = cut(table, "licenses")
+    size = table.agg(F.coalesce(F.sum(F.octet_length("known_digest") + F.octet_length("known_license")), F.lit(0))).first()[0]
+    return F.broadcast(table) if size <= SENT_BYTES else table
+
+
 def scan(docs: DataFrame, known: DataFrame | str | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` with ``digest`` and ``license`` of the whole text and ``line_licenses``, the sorted ids found on lines.
 
-    ``known``: the known licences, or the path of their table.
+    Each line is made canonical once; whole texts and pairs of lines are put together from that. Only lines that are a known
+    licence leave their task. ``known``: the known licences, or the path of their table. Columns of ``docs`` with the names of
+    the results are replaced; other names, whatever they are, don't matter.
     """
     if known is None or isinstance(known, str):
         known = known_licenses(docs.sparkSession, known)
-    docs = docs.drop("digest", "license", "line_licenses")
-    own = F.lit(None).cast("string")
-    if "text" in known.columns:
-        body = canonical(F.col("text"))
-        own = F.when(body != "", F.sha2(body, 256))
-    table = known.select("license_id", F.coalesce("digest", own).alias("_digest") if "digest" in known.columns else own.alias("_digest"))
-    table = table.where("license_id IS NOT NULL AND _digest IS NOT NULL").groupBy("_digest").agg(F.min("license_id").alias("license"))
-    text = F.col(f"`{text_col}`").cast("string")
-    whole = docs.withColumn("digest", F.sha2(canonical(text), 256)).join(table, F.col("digest") == F.col("_digest"), "left").drop("_digest")
-    split = F.split(text, "\n", -1)
-    wrapped = F.zip_with(F.slice(split, F.lit(1), F.size(split) - 1), F.slice(split, F.lit(2), F.size(split)), lambda x, y: F.concat(x, F.lit("\n"), y))
-    lines = docs.where(text.isNotNull()).select("doc_id", F.explode(F.concat(split, wrapped)).alias("line")).select("doc_id", F.sha2(canonical(F.col("line")), 256).alias("_digest"))
-    on_lines = lines.join(table, "_digest").groupBy(F.col("doc_id").alias("_id")).agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"))
-    return whole.join(on_lines, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id").withColumn("line_licenses", F.coalesce("line_licenses", F.lit("")))
+    table = known_digests(known)
+    names = [c for c in docs.columns if c not in ("digest", "license", "line_licenses")]
+    held = docs.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(names)])
+    text, doc_id = F.col(f"own_{names.index(text_col)}").cast("string"), F.col(f"own_{names.index('doc_id')}")
+    split = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    lined = held.withColumn("lines", F.transform(split, canonical))
+    pairs = F.zip_with(
+        F.slice("lines", F.lit(1), F.size("lines") - 1), F.slice("lines", F.lit(2), F.size("lines")), lambda x, y: F.when((x != "") & (y != ""), _joined(F.array(x, y)))
+    )
+    units = F.filter(F.array_union("lines", pairs), lambda x: x.isNotNull() & (x != ""))
+    found = lined.select(doc_id.alias("line_id"), F.explode(units).alias("unit")).withColumn("line_digest", F.sha2(F.col("unit"), 256))
+    on_lines = found.join(table, F.col("line_digest") == F.col("known_digest")).groupBy("line_id").agg(
+        F.array_join(F.array_sort(F.collect_set("known_license")), ",").alias("line_licenses")
+    )
+    whole = lined.withColumn("digest", F.sha2(_joined(F.col("lines")), 256)).drop("lines")
+    whole = whole.join(table, F.col("digest") == F.col("known_digest"), "left")
+    out = whole.join(on_lines, doc_id.eqNullSafe(F.col("line_id")), "left")
+    return out.select(
+        *[F.col(f"own_{i}").alias(c) for i, c in enumerate(names)], "digest", F.col("known_license").alias("license"), F.coalesce("line_licenses", F.lit("")).alias("line_licenses")
+    )
 
 
 def license_report(docs: DataFrame) -> DataFrame:

@@ -307,6 +307,29 @@ def test_licenses(spark, none):
     assert licenses.license_report(none).count() == 0
 
 
+def test_license_scan_keeps_columns_and_odd_rows(spark):
+    long = "word " * 60_000 + "\nReleased under the MIT License.\n" + "word " * 60_000
+    notice = "\u00a9 2020 A\nReleased under the MIT licence"
+    rows = [(0, notice, 1, 2, "x", 3), (0, notice, 1, 2, "x", 3), (None, "Licensed under CC BY 4.0.", 4, 5, None, 6), (1, long, None, None, "y", None), (2, None, 1, 1, "z", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _digest int, _id int, license string, known_digest int")
+    out = licenses.scan(docs)
+    assert out.columns == ["doc_id", "text", "_digest", "_id", "known_digest", "digest", "license", "line_licenses"]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r._digest, r.license, r.line_licenses) for r in out.collect() if r.doc_id != 1 and r.doc_id != 2)
+    assert got == [(False, 0, 1, "MIT", "MIT"), (False, 0, 1, "MIT", "MIT"), (True, 0, 4, "CC-BY-4.0", "CC-BY-4.0")]
+    odd = {r.doc_id: (r.license, r.line_licenses) for r in out.collect() if r.doc_id in (1, 2)}
+    assert odd == {1: (None, "MIT"), 2: (None, "")}
+
+
+@pytest.mark.parametrize("text", ["A sub\nLicense b", "Copyright 2020 X\n\nfavour, whilst\nWILFUL licence", "", "\n\n", "\u00c9t\u00e9 (c) y\nz", "one\r\ntwo\tthree"])
+def test_canonical_lines_make_the_canonical_text(spark, text):
+    from pyspark.sql import functions as F
+
+    row = spark.createDataFrame([(text,)], "t string").select(
+        licenses.canonical(F.col("t")).alias("whole"), licenses._joined(F.transform(F.split("t", "\n", -1), licenses.canonical)).alias("joined")
+    )
+    assert row.first().whole == row.first().joined
+
+
 def test_lines(spark, none):
     body = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
     near = body.replace("wordca", "wordcx")
