@@ -1,13 +1,13 @@
 """Secret scan: three fixed patterns, and character Markov models of random strings and ordinary identifiers.
 
 The patterns give the base spans. The models add long tokens that look random: first-order transitions between characters
-are counted in labelled samples, values of base spans as random strings and the words of other texts as identifiers, and
+are counted over all documents, values of base spans as random strings and all other words as identifiers, and
 smoothed towards the frequency of the second character. A token is added when its log-likelihood ratio passes a threshold and no
-base span overlaps it. Counting reads at most about ``SAMPLE_DOCS`` documents, chosen by a hash of doc_id, and as many more
-that contain a base span; everything else reads all documents. Scoring has no shuffle, and all is DataFrame functions.
+base span overlaps it. Equal words are counted first, so what is shuffled is a row a word and task. Scoring has no
+shuffle, and all is DataFrame functions.
 
 Offsets count code points, ends are exclusive. Defined cases: a null text is empty and has no spans; repeated rows are
-scanned one by one; without any sample both models are uniform and nothing is added; other columns pass through.
+scanned one by one; without any string both models are uniform and nothing is added; other columns pass through.
 """
 
 from __future__ import annotations
@@ -17,8 +17,6 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.session import cut
-
 # Fixed patterns; group 2 of the first is the value, which must have 6 characters.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -28,7 +26,6 @@ KINDS = ("assign", "access", "hex", "markov")
 
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-SAMPLE_DOCS = 4_000
 SMOOTHING = 2.0
 #: Prior odds that a long token is an identifier: the log-likelihood ratio must outweigh them.
 IDENTIFIER_ODDS = 100.0
@@ -102,27 +99,21 @@ def _code(c: Column) -> Column:
 
 def _transitions(values: DataFrame) -> DataFrame:
     """(pair, n): how often a pair of neighbouring characters occurs in the strings, pair = first * alphabet + second."""
-    pairs = values.select(F.explode(F.transform(F.sequence(F.lit(1), F.char_length("value") - 1), lambda i: F.substr(F.col("value"), i, F.lit(2)))).alias("two"))
-    counted = pairs.groupBy("two").agg(F.count("*").alias("n"))
+    pairs = values.groupBy("value").agg(F.count("*").alias("times")).select("times", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("value") - 1), lambda i: F.substr(F.col("value"), i, F.lit(2)))).alias("two"))
+    counted = pairs.groupBy("two").agg(F.sum("times").alias("n"))
     return counted.select((_code(F.substr("two", F.lit(1), F.lit(1))) * len(ALPHABET) + _code(F.substr("two", F.lit(2), F.lit(1)))).alias("pair"), "n")
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> list[float]:
+def fit(docs: DataFrame, text_col: str = "text") -> list[float]:
     """Log-likelihood ratio, random over identifier, of every transition."""
     size = len(ALPHABET)
-    rows = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.lit("secrets")).alias("h"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    share = F.lit(1 << 30)
-
-    def some(df: DataFrame) -> DataFrame:
-        n = df.count()
-        return df.where(F.pmod("h", share) < F.lit(int(min(1.0, sample_docs / max(n, 1)) * (1 << 30)))) if n > sample_docs else df
-
+    rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     hinted = _may_assign(F.col("text")) | F.contains("text", F.lit("AKIA")) | F.col("text").rlike(r"[0-9a-f]{24}")
     spans = base_spans(F.col("text"))
-    found = some(cut(rows.where(hinted), "hinted")).select(F.explode(F.concat(*spans.values())).alias("span")).select(F.col("span.value").alias("value"))
+    found = rows.where(hinted).select(F.explode(F.concat(*spans.values())).alias("span")).select(F.col("span.value").alias("value"))
     random = found.where(F.char_length("value") >= 2).select(F.regexp_replace("value", r"[^A-Za-z0-9+/_=-]", "").alias("value")).where("char_length(value) >= 2")
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("text"), ASSIGN, " "), ACCESS, " "), r"[0-9a-f]{24,}", " ")
-    words = some(rows).select(F.explode(F.regexp_extract_all(plain, F.lit(r"[A-Za-z0-9+/_=-]{2,}"), F.lit(0))).alias("value"))
+    words = rows.select(F.explode(F.regexp_extract_all(plain, F.lit(r"[A-Za-z0-9+/_=-]{2,}"), F.lit(0))).alias("value"))
 
     def logs(values: DataFrame) -> list[float]:
         # at most one row for each pair of characters of the alphabet
