@@ -139,7 +139,7 @@ def test_decluster_invariants(spark, kind):
     ids = sorted(r.cell_id for r in c.collect())
     before = {i: (2 if n < 8 else 1 if n % 9 == 0 else 0) for n, i in enumerate(ids)}
     frame = spark.createDataFrame(list(before.items()), "cell_id bigint, label int")
-    after = {r.cell_id: r.label for r in splits.split_decluster(frame, h, edges, k=0, tol=0.5, kind=kind, seed=1).collect()}
+    after = {r.cell_id: r.label for r in splits.split_decluster(frame, h, edges, k=0, tol=0.5, kind=kind, seed=1, patience=3).collect()}
     assert sorted(after) == ids and sorted(after.values()) == sorted(before.values())
     assert len(violations(after, 0, kind)) < len(violations(before, 0, kind))
     start = hist.jsd_score(h, frame, edges).first().jsd
