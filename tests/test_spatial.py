@@ -257,6 +257,35 @@ def test_gap_fill_equals_brute_force(spark, max_km, cols, area, monkeypatch):
     assert (r.n_imputed, r.n_observed, r.n_land) == (n_imputed, len(known), len(on_land))
 
 
+@pytest.mark.parametrize("max_km, cols, area", [(45.0, 128, 1 << 18), (45.0, 5, 60), (25.0, 3, 1)])
+def test_gap_fill_of_many_maps_equals_one_by_one(spark, max_km, cols, area, monkeypatch):
+    monkeypatch.setattr(gapfill, "BLOCK_COLS", cols)
+    monkeypatch.setattr(gapfill, "BLOCK_PIXELS", area)
+    land = {(r, c) for r, c, _ in pixels(spark, 9, 0.7)[0]}
+    maps = [{(r, c): v for r, c, v in pixels(spark, seed, share)[0] if (r, c) in land} for seed, share in ((8, 0.06), (5, 0.3), (6, 0.0))]
+    rows = [(r, c, maps[0].get((r, c)), maps[0].get((r, c)), maps[1].get((r, c)), maps[2].get((r, c))) for r, c in land]
+    wide = spark.createDataFrame(rows, "row int, col int, a double, a2 double, b double, c double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(x.row, x.col): x for x in gapfill.gap_fill_maps(wide, ["a", "a2", "b", "c"], GRID, max_km).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == land
+    for name, known in (("a", maps[0]), ("a2", maps[0]), ("b", maps[1]), ("c", maps[2])):
+        for r, c in land:
+            near = min((((r - y) ** 2 + (c - x) ** 2, y, x) for y, x in known), default=(1e9, 0, 0))
+            want = (known[near[1:]], near[0] > 0) if near[0] <= (max_km / 10) ** 2 else (None, False)
+            assert (got[(r, c)][name], got[(r, c)][f"{name}__imputed"]) == want
+
+
+def test_gap_fill_queries_move_a_pixel_once_for_all_maps(spark):
+    """One aggregation and one exchange into blocks: no exchange of a row per source and trait."""
+    from pixelloom.catalog import all_queries
+
+    plan = all_queries()["J13_gap_fill_nearest"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def test_gap_fill_without_observations(spark):
     _rows, land = pixels(spark, 9, 0.5)
     none = spark.createDataFrame([], "row int, col int, value double")
