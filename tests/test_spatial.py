@@ -508,3 +508,32 @@ def test_offset_without_scale_leaves_values(spark):
     )
     values = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 1.0), ("d", 1.0)], "variable string, v double")
     assert {r.variable: r.v for r in transforms.to_physical(values, rules).collect()} == {"a": 1.0, "b": 2.0, "c": 7.0, "d": 1.0}
+
+
+def test_block_land_dense_equals_scaffold(spark):
+    rng = np.random.default_rng(3)
+    px = {(int(r), int(c)) for r, c in zip(rng.integers(0, 40, 120), rng.integers(0, 44, 120))}
+    native = spark.createDataFrame([(r, c, 80 if (r + c) % 3 else 10) for r, c in px], "row int, col int, cls int")
+    rows = [0, 1, 4, 5, 9, 9, 12]
+    wanted = spark.createDataFrame([(r,) for r in rows], "row int")
+    every = spark.createDataFrame([(r, c) for r in set(rows) for c in range(11)], "row int, col int")
+    dense = sorted(map(tuple, resample.block_land_dense(native, 4, wanted, 11).collect()))
+    assert dense == sorted(map(tuple, resample.block_land(native, 4, 80, every).collect())) and len(dense) == 66
+
+
+def test_dense_land_is_made_after_the_exchange(spark):
+    """Coarse pixels without data are neither shuffled nor joined."""
+    from pixelloom.catalog import all_queries
+
+    plan = all_queries()["A29_block_land"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.index("Generate") < plan.index("Exchange")
+
+
+@pytest.mark.parametrize("name, exchanges", [("P14_land_finalize", 1), ("P7_apply_water_mask", 1), ("A28_block_mean", 2)])
+def test_means_of_all_traits_share_an_exchange(spark, name, exchanges):
+    from pixelloom.catalog import all_queries
+
+    plan = all_queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == exchanges and "Join" not in plan
+    # traits unfold after the last exchange
+    assert max(plan.find("Generate"), plan.find("Expand")) < plan.index("Exchange")
