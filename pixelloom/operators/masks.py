@@ -63,6 +63,13 @@ def validity_share(mask: DataFrame, grid: GridSpec | None = None) -> DataFrame:
     )
 
 
+def is_wet(row: Column, col: Column, code: Column, extent: tuple[int, int, int, int]) -> Column:
+    """Whether a pixel of the mask grid lies in ``extent`` (row0, row1, col0, col1) and is water, nodata or absent there."""
+    r0, r1, c0, c1 = extent
+    inside = (row >= r0) & (row < r1) & (col >= c0) & (col < c1)
+    return inside & F.coalesce(code, F.lit(255)).isin(0, 255)
+
+
 def apply_water_mask(
     dem: DataFrame, mask: DataFrame, extent: tuple[int, int, int, int], offset: tuple[int, int] = (0, 0),
     value: str = "value", code: str = "land",
@@ -73,13 +80,10 @@ def apply_water_mask(
     (row0, row1, col0, col1) there, ends excluded; DEM pixels outside the extent stay.
     """
     dc, dr = offset
-    r0, r1, c0, c1 = extent
     shifted = mask.select(
         (F.col("row") - dr).alias("row"), (F.col("col") - dc).alias("col"), F.col(code).alias("__code")
     )
-    mr, mc = F.col("row") + dr, F.col("col") + dc
-    inside = (mr >= r0) & (mr < r1) & (mc >= c0) & (mc < c1)
-    wet = inside & F.coalesce(F.col("__code"), F.lit(255)).isin(0, 255)
+    wet = is_wet(F.col("row") + dr, F.col("col") + dc, F.col("__code"), extent)
     return dem.join(shifted, ["row", "col"], "left").withColumn(value, F.when(~wet, F.col(value))).drop("__code")
 
 
