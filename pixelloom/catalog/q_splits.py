@@ -290,14 +290,24 @@ def _(t):
     return rounded(splits.split_report(_plan(t)))
 
 
+# cells of 4 x 4 pixels, so their number grows with the grid
+_UNION = {
+    "p_cells": "SELECT DISTINCT (col // 4)::bigint * 16777216 + row // 4 AS cell_id, (col // 20)::bigint * 16777216 + row // 200 AS parent_id FROM prim",
+    "a_cells": """SELECT DISTINCT (col // 4)::bigint * 16777216 + row // 4 AS cell_id, (col // 20)::bigint * 16777216 + row // 200 AS parent_id
+ FROM aux_t WHERE trait = 'X1' AND (col // 4)::bigint * 16777216 + row // 4 NOT IN (SELECT cell_id FROM p_cells)""",
+    "v_cells": """SELECT DISTINCT (col // 4)::bigint * 16777216 + row // 4 AS cell_id, (col // 20)::bigint * 16777216 + row // 200 AS parent_id
+ FROM order_pixels WHERE (col // 4)::bigint * 16777216 + row // 4 NOT IN (SELECT cell_id FROM p_cells UNION ALL SELECT cell_id FROM a_cells)""",
+}
+
+
 @query("U3_cell_union", """
 SELECT cell_id, parent_id, 'primary' AS data_source FROM p_cells UNION ALL SELECT cell_id, parent_id, 'aux' FROM a_cells
-UNION ALL SELECT cell_id, parent_id, 'none' FROM v_cells""", _PLAN)
+UNION ALL SELECT cell_id, parent_id, 'none' FROM v_cells""", _UNION)
 def _(t):
-    _feats, p, a, v = _plan_cells(t)
-    a = a.join(p.select("cell_id"), "cell_id", "left_anti")
-    v = v.join(p.select("cell_id"), "cell_id", "left_anti").join(a.select("cell_id"), "cell_id", "left_anti")
-    return splits.cell_union(p, a, v)
+    place = lambda df: cells.pixel_to_cell(df.select("row", "col"), t.grid, "square", (4, 4), (200, 20))
+    known = F.coalesce(*TRAITS).isNotNull()
+    primary, aux = t.lines_of("primary").filter(known), t.lines_of("aux").filter("X1 is not null")
+    return splits.cell_union_by_priority(place(primary), place(aux), place(t.order_places))
 
 
 @query("IO13_split_sink", """
