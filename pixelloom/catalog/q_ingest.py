@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pixelloom.catalog.registry import query, rounded
-from pixelloom.catalog.tables import PIXEL_M
+from pixelloom.catalog.tables import PIXEL_M, TRAITS
 from pixelloom.operators import profile, quality, sampling, transforms
 from pixelloom.session import scratch_path
 from pixelloom.sources import params as param_files
@@ -76,7 +76,12 @@ def _(t):
         _RULES, "trait string, nodata double, scale double, offset double, valid_min double, valid_max double"
     )
     out = transforms.to_physical(t.obs, rules, key="trait")
-    return rounded(out.groupBy("row", "col", "source", "trait").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("v")))
+    # the four rows of an observation meet in one before they are shuffled
+    mine = {x: F.col("trait") == x for x in TRAITS}
+    sums = [F.struct(F.count_if(mine[x]).alias("n"), F.sum(F.when(mine[x], F.col("v"))).alias("v")).alias(x) for x in TRAITS]
+    wide = out.groupBy("row", "col", "source").agg(*sums)
+    each = F.array(*[F.struct(F.lit(x).alias("trait"), F.col(x)["n"].alias("n"), F.col(x)["v"].alias("v")) for x in TRAITS])
+    return rounded(wide.select("row", "col", "source", F.inline(each)).filter("n > 0"))
 
 
 @query("IO6_band_reorder", "SELECT row, col, source, trait, count, round(mean, 8) AS mean, round(std, 8) AS std FROM target")
