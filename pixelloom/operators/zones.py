@@ -147,7 +147,7 @@ def _coverage_table(counts: DataFrame, total: DataFrame, zones: DataFrame, n_tra
         F.avg(F.try_divide("n_aux", valid)).alias("aux_share"),
         F.avg(F.try_divide("n_primary", valid)).alias("primary_share"),
     )
-    names = zones.groupBy("zone_id").agg(F.max_by("name", "ord").alias("name")) if "ord" in zones.columns else zones.select("zone_id", "name")
+    names = _zone_names(zones)
     per_zone = (
         names.join(total, "zone_id", "left").join(sums, "zone_id", "left")
         .na.fill(0, ["n_total", "aux", "primary"])
@@ -168,6 +168,18 @@ def _coverage_table(counts: DataFrame, total: DataFrame, zones: DataFrame, n_tra
     return per_zone.unionByName(whole)
 
 
+def zone_sizes(pixels: DataFrame, zones: DataFrame) -> DataFrame:
+    """``section, name, n_total`` of :func:`zonal_coverage` alone, from land pixels with ``zone_id``."""
+    total = pixels.filter(F.col("zone_id") != NO_ZONE).groupBy("zone_id").agg(F.count(F.lit(1)).alias("n_total"))
+    sized = _zone_names(zones).join(total, "zone_id", "left").na.fill(0, ["n_total"])
+    each = sized.select(F.when(F.col("name") == "N/A", 1).otherwise(0).alias("section"), "name", "n_total")
+    return each.unionByName(each.agg(F.lit(2).alias("section"), F.lit("TOTAL").alias("name"), F.sum("n_total").alias("n_total")))
+
+
+def _zone_names(zones: DataFrame) -> DataFrame:
+    return zones.groupBy("zone_id").agg(F.max_by("name", "ord").alias("name")) if "ord" in zones.columns else zones.select("zone_id", "name")
+
+
 def zone_order(coverage: DataFrame) -> DataFrame:
     """Named zones by size, then N/A, then the total."""
     return coverage.orderBy("section", F.desc("n_total"), "name")
