@@ -172,12 +172,21 @@ def group_quantiles(
     by, extra = list(by), list(extra)
     hot = hot_keys(df, by, hot_rows)
     is_hot = F.xxhash64(*by).isin(hot)
-    rest = df.filter(~is_hot) if hot else df
-    names = extra_names(df, extra)
-    at_once = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs.values()])).alias("__q")
-    plain = rest.groupBy(*by).agg(*extra, at_once).select(
-        *by, *names, *[F.col("__q")[i].alias(n) for i, n in enumerate(probs)]
+    # a percentile's partial results are larger than the values, and few rows share a key: values are dealt and sorted
+    rest = (df.filter(~is_hot) if hot else df).repartition(*by)
+    v = F.col(value).cast("double")
+    group = W.partitionBy(*by)
+    ranked = rest.withColumns(
+        {"__rn": F.row_number().over(group.orderBy(v.asc_nulls_last())) - 1, "__n": F.count(v).over(group)}
     )
+    wanted = []
+    for p in probs.values():
+        pos = F.lit(float(p)) * (F.col("__n") - 1)
+        at = [F.max(F.when((F.col("__rn") == place) & (F.col("__n") > 0), v)) for place in (F.floor(pos), F.ceil(pos))]
+        share = F.max(pos - F.floor(pos))
+        wanted.append(F.when(share == 0, at[0]).otherwise(at[0] * (F.lit(1.0) - share) + at[1] * share))
+    names = extra_names(df, extra)
+    plain = ranked.groupBy(*by).agg(*extra, *[q.alias(n) for n, q in zip(probs, wanted)]).select(*by, *names, *probs)
     if not hot:
         return plain
     return plain.unionByName(exact_quantiles(df.filter(is_hot), by, value, probs, extra))
