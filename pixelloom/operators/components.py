@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pixelloom.grid import GridSpec
+from pixelloom.operators.groups import in_whole_groups
 from pixelloom.operators.ranking import exact_quantiles, null_safe_join
 from pixelloom.session import cut
 
@@ -46,23 +47,32 @@ def _codes(column: pa.ChunkedArray) -> np.ndarray:
     return np.where(known, numbers, -1 - np.arange(len(numbers)))
 
 
-def _tile_parts(label: str, width: int):
-    def parts(pixels: pa.Table) -> pa.Table:
-        """Adds ``part``, the smallest pixel number of the pixel's component inside the tile."""
+def _tile_parts(columns: Sequence[str], label: str, grid: GridSpec, tile: Sequence[str]):
+    width, size = grid.width, grid.height * grid.width
+
+    def parts(pixels: pa.Table) -> pa.RecordBatch:
+        """Adds ``part``, the smallest pixel number of the pixel's component inside the tile, for whole tiles in order."""
         row, col = (pixels.column(c).to_numpy().astype(np.int64) for c in ("row", "col"))
-        number, label_of = row * width + col, _codes(pixels.column(label))
+        starts = np.zeros(len(row), bool)
+        for c in tile:
+            values = pixels.column(c).combine_chunks().dictionary_encode()
+            values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+            starts |= np.diff(values.indices.fill_null(-1).to_numpy(zero_copy_only=False), prepend=-2) != 0
+        base = (np.cumsum(starts) - 1) * size
+        number, label_of = base + row * width + col, _codes(pixels.column(label))
         nodes, node = np.unique(number, return_inverse=True)
         of_node = np.empty(len(nodes), np.int64)
         of_node[node] = label_of
         u, v = [], []
-        for step, there in ((1, (nodes + 1) % width != 0), (width, np.ones(len(nodes), bool))):
+        for step, there in ((1, (nodes + 1) % width != 0), (width, nodes % size + width < size)):
             at = np.searchsorted(nodes, nodes + step)
             at[at == len(nodes)] = 0
             linked = there & (nodes[at] == nodes + step) & (of_node[at] == of_node)
             u.append(np.flatnonzero(linked))
             v.append(at[linked])
         root = nodes[hook(len(nodes), np.concatenate(u), np.concatenate(v))]
-        return pixels.append_column("part", pa.array(root[node], pa.int64()))
+        found = pixels.select(list(columns)).append_column("part", pa.array(root[node] % size, pa.int64()))
+        return found.combine_chunks().to_batches()[0]
 
     return parts
 
@@ -90,8 +100,8 @@ def _follow(df: DataFrame, column: str, roots: DataFrame, keys: Sequence[str]) -
 def components(df: DataFrame, label: str, grid: GridSpec, by: Sequence[str] = ()) -> DataFrame:
     """4-connected components of equal label: adds ``component``, the smallest pixel number in it.
 
-    ``df`` has one row per ``by``, row and col. Each tile is solved by itself, in an Arrow group of at most TILE * TILE
-    pixels. What touches across tiles becomes an edge between two tile components, filed under the smallest block
+    ``df`` has one row per ``by``, row and col. Each tile is solved by itself, at most TILE * TILE pixels; tiles
+    with few pixels share a call. What touches across tiles becomes an edge between two tile components, filed under the smallest block
     that holds both: a block has FAN * FAN tiles, the next one FAN * FAN blocks, until one block is the grid. Each level
     solves its blocks independently and hands the roots up. So the number of steps follows from the size of the
     grid, not from the shape of the components; one that spans the map is many small ones until the last step.
@@ -101,9 +111,9 @@ def components(df: DataFrame, label: str, grid: GridSpec, by: Sequence[str] = ()
     tile = [F.floor(F.col(c) / TILE).cast("int").alias(f"__t{c}") for c in ("row", "col")]
     placed = df.select("*", *tile)
     schema = T.StructType([*df.schema.fields, T.StructField("part", T.LongType())])
-    solve = _tile_parts(label, grid.width)
-    tiled = placed.groupBy(*keys, "__trow", "__tcol").applyInArrow(lambda t: solve(t.drop_columns(["__trow", "__tcol"])), schema)
-    tiled = cut(tiled, "tiles")
+    at = [*keys, "__trow", "__tcol"]
+    solve = in_whole_groups(_tile_parts(df.columns, label, grid, at), at)
+    tiled = cut(placed.repartition(*at).sortWithinPartitions(*at).mapInArrow(solve, schema), "tiles")
 
     last_row, last_col = F.col("row") % TILE == TILE - 1, F.col("col") % TILE == TILE - 1
     first_row, first_col = F.col("row") % TILE == 0, F.col("col") % TILE == 0
