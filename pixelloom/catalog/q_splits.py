@@ -234,7 +234,7 @@ def _(t):
     same = after.join(c, "cell_id", "full_outer").filter("label is null or parent_id is null").isEmpty()
     return after.groupBy("label").agg(F.count(F.lit(1)).alias("n_cells")).select(
         "label", "n_cells", F.lit(same).alias("all_cells"), F.lit(bad[1] < bad[0] or bad[0] == 0).alias("fewer_violations"),
-        F.lit(distance <= score * 1.05 + 1e-12).alias("within_budget"),
+        F.lit(distance <= splits.distance_budget(score, 0.05) + 1e-12).alias("within_budget"),
     )
 
 

@@ -85,3 +85,19 @@ def test_zone_order_places_bare_pixels(spark):
 @pytest.mark.parametrize("name", ["U1_trait_union", "U2_trait_except"])
 def test_other_trait_sets_move_no_pixels(spark, name):
     assert "l_partkey" not in plan(spark, name)
+
+
+def test_declustering_of_like_cells(spark):
+    """I3_decluster_invariants: where all cells are copies the distance is 0 but for rounding, which must not stop a swap."""
+    key = 1 << 24
+    at = [(r, c) for r in range(12) for c in range(12)]
+    label = lambda r, c: 2 if r < 3 and c < 3 else 1 if r > 9 else 0
+    labels = spark.createDataFrame([(c * key + r, label(r, c)) for r, c in at], "cell_id long, label int")
+    counts = [5, 17, 3, 11, 29, 7, 13, 2, 19, 23, 1, 31]
+    hist_rows = [(c * key + r, f, b, n * m) for r, c in at for f, m in (("a", 1), ("b", 3)) for b, n in enumerate(counts)]
+    counted = spark.createDataFrame(hist_rows, "cell_id long, feature string, bin int, n long")
+    edges = spark.createDataFrame([(f, 0.0, 12.0, 1.0, 12) for f in ("a", "b")], "feature string, lo double, hi double, width double, n_bins int")
+    after = splits.split_decluster(labels, counted, edges, k=1, kind="square", seed=1).cache()
+    bad = [splits.violations(x, "square", 1, (splits.TEST,)).count() for x in (labels, after)]
+    assert bad[0] == 9 and bad[1] < bad[0]
+    assert {r["label"]: r["count"] for r in after.groupBy("label").count().collect()} == {0: 111, 1: 24, 2: 9}
