@@ -509,3 +509,17 @@ def test_whole_license_texts_and_wrapped_notices(spark, tmp_path):
     spark.createDataFrame([("Own", None, digest), ("More", "words", None), (None, "more", None)], "license_id string, text string, digest string").write.parquet(f"{tmp_path}/known")
     got = {r.doc_id: (r.license, r.line_licenses) for r in licenses.scan(docs, f"{tmp_path}/known").collect()}
     assert got[5] == ("Own", "Own") and got[3] == (None, "More") and got[0] == (None, "")
+
+
+def test_line_pairs_do_not_depend_on_the_size_of_their_bucket(spark):
+    """A pair within the bits of a bucket is compared, however many nodes share the bucket."""
+    near = 0
+    for x in range(0, 64, 3):
+        near |= 1 << x
+    near = near - (1 << 64) if near >= 1 << 63 else near
+    pair = [(1, 0, 1), (2, near, 2)]
+    for n in (3, 300):
+        main = [(10 + i, -1, 10) for i in range(n)]
+        mixed = spark.createDataFrame([(7, *r) for r in pair + main], "key long, node long, simhash long, root long")
+        got = {tuple(r) for r in line_dedup._across(mixed).collect()}
+        assert (1, 2) in got, n
