@@ -201,10 +201,10 @@ def _link(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: int) -
     )
     classes = cut(classes, "classes")
     signatures = classes.select("node", "signature")
-    members = classes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    members = cut(_shared_members(classes), "members")
 
-    stars = members.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("size")).where("size > 1")
-    pairs = members.join(stars.select("key", "a"), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    stars = members.groupBy("key").agg(F.min("node").alias("a"))
+    pairs = members.join(stars, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     likely = cut(_likely(pairs, signatures, threshold), "pairs")
     nodes = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
     sets = cut(_full_sets(docs, classes.select("node", "doc_id").join(nodes, "node"), id_col, text_col, n).dropDuplicates(["node"]), "sets")
@@ -213,6 +213,7 @@ def _link(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: int) -
     roots = components(edges)
 
     mixed = cut(_mixed_buckets(members, classes, roots), "mixed")
+    discard(members)
     open_rows = cut(_open_members(mixed, threshold), "open")
     discard(mixed)
     if not open_rows.isEmpty():
@@ -237,6 +238,16 @@ def _link(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: int) -
     return linked, [all_docs, named]
 
 
+def _shared_members(classes: DataFrame) -> DataFrame:
+    """(node, n_shingles, band, key) of the band keys that several classes have; all others make no pair.
+
+    Keys are counted alone, so that only one shuffle carries the digests of all classes, 25 times each.
+    """
+    members = classes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    shared = classes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    return members.join(shared.select("key"), "key")
+
+
 def _likely(pairs: DataFrame, signatures: DataFrame, threshold: int) -> DataFrame:
     left = signatures.toDF("a", "signature_a")
     right = signatures.toDF("b", "signature_b")
