@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("pixelloom.llm")
 
 from pixelloom import session  # noqa: E402
-from pixelloom.llm import minhash  # noqa: E402
+from pixelloom.llm import line_dedup, minhash  # noqa: E402
 
 
 def test_only_shared_band_keys_are_written(spark, monkeypatch):
@@ -43,3 +43,19 @@ def test_steps_leave_no_shuffle_files(spark):
     assert not files() - before
     assert sorted(tuple(r) for r in rows.collect())[0] == (0, 143)
     assert spark.conf.get(session.SHUFFLE_CLEANUP) == "false"
+
+
+def test_keys_of_lines_are_shuffled_once(spark):
+    """op3_lines: the join with the first occurrences deals the keys; making them distinct needs no second exchange."""
+    rows = [(None, 0, 5, 1, [1]), (0, 0, 5, 1, [1]), (0, 2, 6, 2, [2]), (0, 2, 6, 2, [2]), (3, 1, 7, 3, [3]), (2, 9, 7, 3, [3])]
+    hashed = spark.createDataFrame(rows, "doc_id long, line long, node long, simhash long, keys array<long>")
+    nodes = session.cut(hashed.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        once = line_dedup._first_occurrences(hashed, nodes)
+        plan = once._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.node, r.simhash, r["keys"]) for r in once.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [(5, 1, [1]), (6, 2, [2]), (7, 3, [3])]
+    assert plan.count("Exchange hashpartitioning") == 2
