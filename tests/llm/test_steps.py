@@ -3,6 +3,8 @@
 import time
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +61,53 @@ def test_keys_of_lines_are_shuffled_once(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == [(5, 1, [1]), (6, 2, [2]), (7, 3, [3])]
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_edit_distances_are_exact():
+    """op3_lines: what rules pairs out before their distance is taken, and the distance along diagonals, lose and add none."""
+    rng = np.random.Generator(np.random.PCG64(5))
+    rows = []
+    for i in range(600):
+        letters = ["ab", "abcdefgh é", "aé漢😀 bcd"][i % 3]
+        x = list(rng.choice(list(letters), rng.integers(1, 90)))
+        y = x[:]
+        for _ in range(rng.integers(0, 12)):
+            k = int(rng.integers(0, len(y) + 1))
+            y[k : k + int(rng.integers(0, 2))] = list(rng.choice(list(letters), rng.integers(0, 2)))
+        rows.append((i, i, "".join(x), "".join(y) or "a"))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {i for i, _, x, y in rows if distance(x, y) <= int(max(len(x), len(y)) * line_dedup.EDITS)}
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["a", "b", "left", "right"])
+    got = [k for part in line_dedup._alike_pairs(iter([batch])) for k in part.column("a").to_pylist()]
+    assert sorted(got) == sorted(want) and 0 < len(want) < len(rows)
+
+
+def test_pairs_of_lines_are_confirmed_in_rounds(spark):
+    """op3_lines: many pairs of few lines don't put their lines on disk all at once, and no pair is lost."""
+    texts = [(i, "the same words again and again, but number " + chr(97 + i)) for i in range(16)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    nodes = spark.createDataFrame([(i, (i, 0)) for i in range(16)], "node long, first struct<doc_id: long, line: long>")
+    pairs = [(a, b) for a in range(16) for b in range(a + 1, 16)]
+    found = line_dedup._confirmed(docs, nodes, session.cut(spark.createDataFrame(pairs, "a long, b long")))
+    folders = {f.rpartition("/")[0] for f in found.inputFiles()}
+    assert sorted(tuple(r) for r in found.collect()) == pairs
+    assert len(folders) == 4
+
+
+def test_line_keys_are_counted_in_rounds(spark):
+    """op3_lines: the rounds hold every key once, and a task gives those of a repeated line once."""
+    text = "some line that comes again and again in all the texts"
+    docs = spark.createDataFrame([(i, f"{text}\n{text} number {i}x") for i in range(8)], "doc_id long, text string").coalesce(1)
+    rows = line_dedup.hashed_lines(docs, 1).collect()
+    keys = [[k for c in line_dedup.KEY_COLUMNS for k in r[c]] for r in rows]
+    assert all(k % line_dedup.ROUNDS == i for r in rows for i, c in enumerate(line_dedup.KEY_COLUMNS) for k in r[c])
+    first = [k for r, k in zip(rows, keys) if r.line == 0]
+    assert len(first) == 8 and sum(map(bool, first)) == 1 and len(set(max(first, key=len))) >= line_dedup.KEYS
