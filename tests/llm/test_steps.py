@@ -111,3 +111,23 @@ def test_line_keys_are_counted_in_rounds(spark):
     assert all(k % line_dedup.ROUNDS == i for r in rows for i, c in enumerate(line_dedup.KEY_COLUMNS) for k in r[c])
     first = [k for r, k in zip(rows, keys) if r.line == 0]
     assert len(first) == 8 and sum(map(bool, first)) == 1 and len(set(max(first, key=len))) >= line_dedup.KEYS
+
+
+def test_new_words_are_encoded_many_at_a_time(monkeypatch):
+    """op8_tokens: a text for every new word cost most of the job; the ids are those of the words alone."""
+    import public_tokenizers
+
+    from pixelloom.llm import tokens
+
+    encoder = tokens.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    words = [f"word{i}," for i in range(700)] + ["́x", "é漢", "<|endoftext|>", "\x01", "a\x01b", "'s", "　", "​", "İ"]
+    want = [encoder.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    for own in (words, words[:700], [w for w in words if "\x01" in w]):
+        sizes, flat = encoder._encode_words([w.encode() for w in own])
+        assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [want[words.index(w)] for w in own]
+    asked = []
+    encode = encoder._encode
+    monkeypatch.setattr(encoder, "_encode", lambda texts: asked.extend(texts) or encode(texts))
+    raw = " ".join(words).encode()
+    encoder.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert sorted(asked) == ["\x01", "a\x01b"]
