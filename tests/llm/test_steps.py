@@ -113,6 +113,43 @@ def test_line_keys_are_counted_in_rounds(spark):
     assert len(first) == 8 and sum(map(bool, first)) == 1 and len(set(max(first, key=len))) >= line_dedup.KEYS
 
 
+def test_unlike_lines_are_ruled_out_before_they_are_fetched(spark, monkeypatch):
+    """op3_lines: lines of one small vocabulary share keys; only near copies among them are worth fetching their texts."""
+    rng = np.random.Generator(np.random.PCG64(8))
+    parts = ["the", "and", "tion", "er", "in", "th", "on", "re", "at", "en"]
+    lines = [" ".join("".join(rng.choice(parts, rng.integers(1, 4))) for _ in range(rng.integers(8, 60))) for _ in range(1500)]
+    lines += [line[:40] + "x" + line[41:] for line in lines[:20]]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    asked, confirmed = [], line_dedup._confirmed
+    monkeypatch.setattr(line_dedup, "_confirmed", lambda *a: asked.append(a[2].count()) or confirmed(*a))
+    got = {r.doc_id: r.n_dropped for r in line_dedup.line_report(docs, 1).collect()}
+    assert sum(got[1500 + i] for i in range(20)) >= 18 and not any(got[i] for i in range(1500))
+    assert sum(asked) < 200
+
+
+def test_buckets_of_lines_are_paired_whole():
+    """op3_lines: small buckets give all close pairs, large ones those with a pivot and their members, in one step or several."""
+    rng = np.random.Generator(np.random.PCG64(9))
+    sizes = [1, 2, 5, line_dedup.SMALL, line_dedup.SMALL + 1, 60]
+    rows = np.zeros(sum(sizes), line_dedup.BUCKET_ROW)
+    rows["key"], rows["node"] = np.repeat(np.arange(len(sizes)), sizes), rng.permutation(len(rows))
+    rows["chars"] = rng.choice([100, 105, 200], len(rows))
+    rows["sign0"] = rng.choice([0, -1], len(rows), p=[0.8, 0.2])
+    rows["sign1"] = rows["sign0"]
+    near = lambda x, y: abs(int(x["chars"]) - int(y["chars"])) <= int(max(x["chars"], y["chars"]) * line_dedup.EDITS) and x["sign0"] == y["sign0"]
+    all_pairs = {(min(x["node"], y["node"]), max(x["node"], y["node"])): int(x["key"]) for i, x in enumerate(rows) for y in rows[:i] if x["key"] == y["key"] and near(x, y)}
+    dealt = np.concatenate([rows, rows[:20]])[rng.permutation(len(rows) + 20)]
+    for steps in (1, 3):
+        held, pairs, members = dealt[:0], set(), []
+        for k, part in enumerate(np.array_split(dealt, steps)):
+            own, large, held = line_dedup._paired(np.concatenate([held, part]), last=k == steps - 1)
+            pairs |= {(int(a), int(b)) for a, b, _ in own}
+            members += large.tolist()
+        assert {p for p in pairs if all_pairs[p] < 4} == {p for p, key in all_pairs.items() if key < 4}
+        assert pairs <= set(all_pairs) and {all_pairs[p] for p in pairs} >= {4, 5}
+        assert {(m[0], m[1]) for m in members} == {(r["key"], r["node"]) for r in rows if r["key"] >= 4}
+
+
 def test_new_words_are_encoded_many_at_a_time(monkeypatch):
     """op8_tokens: a text for every new word cost most of the job; the ids are those of the words alone."""
     import public_tokenizers
