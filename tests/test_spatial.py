@@ -537,3 +537,33 @@ def test_means_of_all_traits_share_an_exchange(spark, name, exchanges):
     assert plan.count("Exchange") == exchanges and "Join" not in plan
     # traits unfold after the last exchange
     assert max(plan.find("Generate"), plan.find("Expand")) < plan.index("Exchange")
+
+
+def test_gap_fill_observations_travel_by_source(spark, monkeypatch):
+    """J13_gap_fill_report: a row has the traits of its source, not of all maps; repeated and not finite ones give the same as maps do."""
+    rows = [((i * 7) % 30, (i * 11) % 24, "ab"[i % 2], float(i % 13), None if i % 3 else i / 7) for i in range(40)]
+    rows += [(3, 4, "a", 1.0, 2.0)] * 9 + [(9, 9, "b", float("nan"), 5.0), (9, 9, "b", 2.0, 7.0), (29, 23, None, None, None)] * 2
+    seen = spark.createDataFrame(rows, "row int, col int, source string, x double, y double")
+    maps = [f"{s}_{x}" for s in "ab" for x in "xy"]
+    means = [F.avg(F.when(F.col("source") == m[0], F.col(m[2]))).alias(m) for m in maps]
+    want = gapfill.gap_fill_maps(seen.groupBy("row", "col").agg(*means), maps, GRID, 60.0)
+    got = gapfill.gap_fill_observations(seen, ["a", "b"], ["x", "y"], GRID, 60.0)
+    assert got.columns == want.columns and {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+    dealt = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if line.lstrip(" +-:").startswith("MapInArrow")]
+    assert dealt and all("v1" in line and "v2" not in line for line in dealt)
+
+
+def test_nearest_in_block_stops_at_the_nearest():
+    """The nearest of all observations, ties by row, then column, as from looking at every one."""
+    random.seed(3)
+    for share in (0.002, 0.05, 0.5):
+        seen = np.array([[random.random() < share for _ in range(60)] for _ in range(70)])
+        y, x = (v.ravel() for v in np.mgrid[0:70, 12:48])
+        d2, place = gapfill._nearest_in_block(seen, y, x, 12)
+        at = np.argwhere(seen)
+        for i in range(len(y)):
+            near = min((((y[i] - r) ** 2 + (x[i] - c) ** 2, r, c) for r, c in at.tolist() if abs(x[i] - c) <= 12), default=None)
+            if near and near[0] <= 144:
+                assert (d2[i], place[i]) == (near[0], near[1] * 60 + near[2])
+            else:
+                assert d2[i] > 144
