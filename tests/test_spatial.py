@@ -567,3 +567,12 @@ def test_nearest_in_block_stops_at_the_nearest():
                 assert (d2[i], place[i]) == (near[0], near[1] * 60 + near[2])
             else:
                 assert d2[i] > 144
+
+
+def test_gap_fill_rounds_means_before_they_fill(spark):
+    """J13_gap_fill_nearest: a mean is rounded once, not for each pixel that it fills."""
+    from pixelloom.catalog import all_queries
+
+    plan = all_queries()["J13_gap_fill_nearest"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("MapInArrow", 1)
+    assert "round(" not in above and "round(" in below
