@@ -576,3 +576,12 @@ def test_gap_fill_rounds_means_before_they_fill(spark):
     plan = all_queries()["J13_gap_fill_nearest"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("MapInArrow", 1)
     assert "round(" not in above and "round(" in below
+
+
+def test_dense_land_of_a_wide_grid_is_stored_small(spark, tmp_path):
+    """A29_block_land: columns recur within a page, so a file does not hold four bytes for each."""
+    native = spark.createDataFrame([(r * 4, c * 4, 10) for r in range(20) for c in range(r, 30_000, 3_001)], "row int, col int, cls int")
+    dense = resample.block_land_dense(native, 4, spark.range(20).select(F.col("id").cast("int").alias("row")), 30_000)
+    dense.coalesce(1).write.parquet(f"{tmp_path}/land")
+    assert spark.read.parquet(f"{tmp_path}/land").count() == 600_000
+    assert sum(f.stat().st_size for f in (tmp_path / "land").iterdir()) < 600_000
